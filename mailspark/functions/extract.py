@@ -144,35 +144,36 @@ def format_prompt(c: Column) -> Column:
 
 def json_kind(v: Column) -> Column:
     """Kind of a variant: object, array, string, bool, null or number."""
-    name = F.schema_of_variant(v)
-    return (F.when(v.isNull(), F.lit(None).cast("string"))
-            .when(name.startswith("OBJECT"), "object")
-            .when(name.startswith("ARRAY"), "array")
-            .when(name == "STRING", "string")
-            .when(name == "BOOLEAN", "bool")
-            .when(name == "VOID", "null")
-            .otherwise("number"))
+    def named(name: Column) -> Column:
+        return (F.when(name.isNull(), F.lit(None).cast("string"))
+                .when(F.startswith(name, F.lit("OBJECT")), "object")
+                .when(F.startswith(name, F.lit("ARRAY")), "array")
+                .when(name == "STRING", "string")
+                .when(name == "BOOLEAN", "bool")
+                .when(name == "VOID", "null")
+                .otherwise("number"))
+    return let(F.schema_of_variant(v), named)
 
 
 def json_text(v: Column, null_text: str = "None") -> Column:
     """A JSON value as display text: strings bare, true/false as True/False,
     null as ``null_text``, numbers as written, nested values as JSON."""
-    kind = json_kind(v)
     plain = v.cast("string")
-    return (F.when(kind == "null", F.lit(null_text))
-            .when(kind == "bool", F.initcap(plain))
-            .when(kind.isin("object", "array"), F.to_json(v))
-            .otherwise(plain))
+    return let(json_kind(v), lambda kind:
+               F.when(kind == "null", F.lit(null_text))
+               .when(kind == "bool", F.initcap(plain))
+               .when(kind.isin("object", "array"), F.to_json(v))
+               .otherwise(plain))
 
 
 def json_truthy(v: Column) -> Column:
     """False for null, false, 0, empty text, empty array and empty object."""
-    kind = json_kind(v)
-    return (F.when(kind.isNull() | (kind == "null"), False)
-            .when(kind == "string", v.cast("string") != "")
-            .when(kind == "bool", v.cast("string") == "true")
-            .when(kind == "number", v.cast("double") != 0)
-            .otherwise(~F.to_json(v).isin("[]", "{}")))
+    return let(json_kind(v), lambda kind:
+               F.when(kind.isNull() | (kind == "null"), False)
+               .when(kind == "string", v.cast("string") != "")
+               .when(kind == "bool", v.cast("string") == "true")
+               .when(kind == "number", v.cast("double") != 0)
+               .otherwise(~F.to_json(v).isin("[]", "{}")))
 
 
 def json_field(v: Column, name: str) -> Column:
@@ -199,15 +200,14 @@ def load_json_safe(c: Column) -> Column:
 
 
 def _string_list(v: Column, null_text: str) -> Column:
-    kind = json_kind(v)
-    text = json_text(v, null_text)
-    items = F.transform(v.cast("array<variant>"), lambda x: json_text(x, null_text))
-    listed = (F.when(kind == "string",
-                     F.transform(F.split(v.cast("string"), ","), utrim))
-              .when(kind == "array", items)
-              .when(json_truthy(v), F.array(text))
-              .otherwise(empty_strings()))
-    return F.filter(F.coalesce(listed, empty_strings()), nonblank)
+    def listed(kind: Column) -> Column:
+        return (F.when(kind == "string",
+                       F.transform(F.split(v.cast("string"), ","), utrim))
+                .when(kind == "array", F.transform(
+                    v.cast("array<variant>"), lambda x: json_text(x, null_text)))
+                .when(json_truthy(v), F.array(json_text(v, null_text)))
+                .otherwise(empty_strings()))
+    return F.filter(F.coalesce(let(json_kind(v), listed), empty_strings()), nonblank)
 
 
 def normalize_contact(c: Column, null_text: str = "None") -> Column:

@@ -7,7 +7,7 @@ import re
 from html.entities import html5, name2codepoint
 from typing import Callable, Iterable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Characters stripped from both ends of a string, and matched by \s.
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
@@ -32,6 +32,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that no later filter can pull apart.
+
+    A plain projection is inlined into filters above it: every use of a
+    column then repeats its expression, and surviving rows evaluate it again.
+    Generating the values from a one-row array keeps them computed once.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def utrim(c: Column) -> Column:
     """Strip every Unicode whitespace character from both ends."""
     return F.btrim(c, F.lit(WHITESPACE))

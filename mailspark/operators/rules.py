@@ -10,7 +10,8 @@ from typing import Iterable, NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import FilterConfig
-from ..functions.text import let, match_start_any, search_any
+from ..functions.text import (casefold_ascii, compute_once, is_plain, let, match_start_any,
+                              search_any)
 
 # Reason codes in evaluation order.
 CODES = (
@@ -190,11 +191,9 @@ def reason_text(code: Column, x: Inputs, cfg: FilterConfig) -> Column:
 def basic_verdict(df: DataFrame, cfg: FilterConfig, phase: str = "pre") -> DataFrame:
     """Add ``is_spam``, ``reason_code`` and ``reason``. Narrow: no shuffle."""
     x = inputs(df, phase)
-    return (
-        df.withColumn("reason_code", reason_code(x, cfg))
-        .withColumn("is_spam", F.col("reason_code").isNotNull())
-        .withColumn("reason", reason_text(F.col("reason_code"), x, cfg))
-    )
+    judged = compute_once(df, {"reason_code": reason_code(x, cfg)})
+    return (judged.withColumn("is_spam", F.col("reason_code").isNotNull())
+            .withColumn("reason", reason_text(F.col("reason_code"), x, cfg)))
 
 
 def should_process(df: DataFrame, cfg: FilterConfig, phase: str = "pre") -> DataFrame:
@@ -239,18 +238,32 @@ def rule_hits(df: DataFrame, rules: Iterable[Rule], chunk: int = 500) -> DataFra
     rules = list(rules)
     x = inputs(df)
 
+    def label(rule: Rule) -> Column:
+        return F.struct(F.lit(rule.rule_id).cast("int").alias("rule_id"),
+                        F.lit(rule.kind).alias("kind"), F.lit(rule.pattern).alias("pattern"))
+
     def one_pass(part: list[Rule]) -> DataFrame:
         hits = []
-        for rule in part:
-            _, column, match = _KINDS[rule.kind]
-            patterns = compile_patterns([rule.pattern])
-            if patterns:
-                found = F.struct(F.lit(rule.rule_id).cast("int").alias("rule_id"),
-                                 F.lit(rule.kind).alias("kind"),
-                                 F.lit(rule.pattern).alias("pattern"))
-                hits.append(F.when(match(getattr(x, column), patterns), found))
-        matched = F.filter(F.array(*hits), lambda h: h.isNotNull())
-        return (df.select("uid", F.explode(matched).alias("h"))
+        for kind, (_, column, match) in _KINDS.items():
+            source = getattr(x, column)
+            compiled = [(r, p) for r in part if r.kind == kind
+                        for p in compile_patterns([r.pattern])]
+            plain = [(r, p) for r, p in compiled if match is search_any and is_plain(p)]
+            if plain:
+                # text rules share one folded copy of the message
+                needles = F.array(*[F.struct(F.lit(p.lower()).alias("needle"),
+                                             label(r).alias("rule")) for r, p in plain])
+                hits.append(let(casefold_ascii(source), lambda t: F.transform(
+                    F.filter(needles, lambda n: F.contains(t, n["needle"])),
+                    lambda n: n["rule"])))
+            others = [F.when(match(source, [p]), label(r)) for r, p in compiled
+                      if (r, p) not in plain]
+            if others:
+                hits.append(F.filter(F.array(*others), lambda h: h.isNotNull()))
+        if not hits:
+            return df.select("uid").limit(0).select(
+                "uid", F.lit(0).alias("rule_id"), F.lit("").alias("kind"), F.lit("").alias("pattern"))
+        return (df.select("uid", F.explode(F.concat(*hits)).alias("h"))
                 .select("uid", "h.rule_id", "h.kind", "h.pattern"))
 
     passes = [one_pass(rules[i:i + chunk]) for i in range(0, len(rules), chunk)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.extract import (json_field, json_kind, json_text, json_truthy)
-from ..functions.text import fold, is_default, let, nonblank, utrim
+from ..functions.text import compute_once, fold, is_default, let, nonblank, utrim
 
 # Placeholders of the view.
 NOT_GIVEN, NOT_FOUND = "Не указано", "Не найдено"
@@ -43,7 +43,7 @@ def _list_field(v: Column, name: str) -> Column:
 
 def _text_field(v: Column, field: str) -> Column:
     """First truthy spelling of a field, else its default."""
-    found = [F.when(json_truthy(json_field(v, alias)), json_text(json_field(v, alias)))
+    found = [let(json_field(v, alias), lambda f: F.when(json_truthy(f), json_text(f)))
              for alias in ALIASES[field]]
     return F.coalesce(*found, F.lit(_DEFAULTS[field]))
 
@@ -65,29 +65,32 @@ def normalize_view(df: DataFrame, value: str = "value", filename: str = "filenam
     becomes a placeholder row; ``parse_status`` tells them apart
     (``ok``, ``not_json``, ``not_object``).
     """
-    staged = (
-        df.withColumn("raw_content", utrim(F.coalesce(F.col(value), F.lit(""))))
-        .withColumn("_outer", F.try_parse_json("raw_content"))
-        .withColumn("_okind", F.when(F.col("raw_content") == "", None)
-                    .otherwise(json_kind(F.col("_outer"))))
-        # a JSON string is parsed once more; unreadable text means "no fields"
-        .withColumn("_text", F.when(F.col("_okind") == "string", F.col("_outer").cast("string"))
-                    .otherwise(F.col("raw_content")))
-        .withColumn("_v", F.coalesce(
-            F.when(F.col("_text") != "",
-                   F.try_parse_json("_text")), F.parse_json(F.lit("{}"))))
-        .withColumn("_kind", F.when(F.col("_okind").isNull(), F.lit(None).cast("string"))
-                    .otherwise(json_kind(F.col("_v"))))
-    )
+    keep = [c for c in df.columns if c not in (value, *VIEW_FIELDS)]
+    staged = df.select(
+        *keep, F.col(filename).alias("_name"),
+        utrim(F.coalesce(F.col(value), F.lit(""))).alias("_content"))
+    parsed = compute_once(staged, {
+        "_outer": F.when(F.col("_content") != "", F.try_parse_json("_content"))})
+    parsed = compute_once(parsed, {
+        "_okind": json_kind(F.col("_outer")),
+        # a JSON string is parsed once more
+        "_text": F.when(json_kind(F.col("_outer")) == "string", F.col("_outer").cast("string"))
+        .otherwise(F.col("_content"))})
+    # text inside a string that is not JSON itself means "no fields"
+    inner = F.when(F.col("_okind") != "string", F.col("_outer")).when(
+        F.col("_text") != "", F.try_parse_json("_text"))
+    parsed = compute_once(parsed, {"_v": F.coalesce(inner, F.parse_json(F.lit("{}")))})
+    parsed = compute_once(parsed, {
+        "_kind": F.when(F.col("_okind").isNotNull(), json_kind(F.col("_v")))})
     status = (F.when(F.col("_kind").isNull(), "not_json")
               .when(F.col("_kind") == "object", "ok").otherwise("not_object"))
-    staged = staged.withColumn("parse_status", status)
+    parsed = compute_once(parsed, {"parse_status": status})
 
     def by_status(ok: Column, bad_json: Column, bad_object: Column) -> Column:
         return (F.when(F.col("parse_status") == "ok", ok)
                 .when(F.col("parse_status") == "not_json", bad_json).otherwise(bad_object))
 
-    v, name = F.col("_v"), F.col(filename)
+    v, name = F.col("_v"), F.col("_name")
     full_name = let(_text_field(v, "full_name"), lambda n: F.when(
         n == NOT_GIVEN, F.coalesce(_name_from_any_key(F.col("_text")), n)).otherwise(n))
     type_name = F.lit("int")
@@ -106,10 +109,9 @@ def normalize_view(df: DataFrame, value: str = "value", filename: str = "filenam
         "emails": by_status(_list_field(v, "emails"), _strings(), _strings()),
         "phones": by_status(_list_field(v, "phones"), _strings(), _strings()),
         "product": by_status(_text_field(v, "product"), F.lit(""), F.lit(NOT_FOUND)),
-        "raw_content": by_status(F.col("raw_content"), F.col("raw_content"), error),
+        "raw_content": by_status(F.col("_content"), F.col("_content"), error),
     }
-    keep = [c for c in df.columns if c not in (value, *fields)]
-    return staged.select(*keep, *[c.alias(n) for n, c in fields.items()], "parse_status")
+    return compute_once(parsed, fields).select(*keep, *VIEW_FIELDS, "parse_status")
 
 
 def sufficient(company: Column, full_name: Column, emails: Column, phones: Column) -> Column:

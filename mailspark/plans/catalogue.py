@@ -698,9 +698,7 @@ def stream_eml_ingest(spark, sf):
 
 @query
 def stream_dedupe(spark, sf):
-    path = f"{sf.rstrip('/')}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    arrivals = events.select(F.col("user_id").cast("string").alias("uid"))
+    arrivals = A.table_stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("uid"))
     out = shared_dir(spark, "dedupe")
     J.run_to_table(J.stream_dedupe(arrivals), out, shared_dir(spark, "ckpt")).awaitTermination()
     return spark.read.parquet(out).select("uid")

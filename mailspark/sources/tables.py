@@ -96,9 +96,16 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages_from(fan_out(docs, "doc_id"))
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files (one file or a folder of them)."""
+    base = sf_dir.rstrip("/")
+    schema = spark.read.parquet(f"{base}/{name}.parquet").schema
+    # a glob, because a stream cannot take a single file as its base path
+    return spark.readStream.schema(schema).parquet(f"{base}/{{{name}}}.parquet")
+
+
 def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/documents.parquet"
-    docs = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    docs = table_stream(spark, sf_dir, "documents")
     return messages_from(docs.select("doc_id", "text", "lang", "source"))
 
 
