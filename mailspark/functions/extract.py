@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import (count_nonblank, is_default, java_regex, let, lines, nonblank, utrim)
+from .sqltext import case, let as sql_let, quote
+from .text import WHITESPACE, count_nonblank, is_default, java_regex, let, lines, utrim
 
 # Extraction patterns.
 EMAIL_PATTERN = r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
@@ -142,98 +143,100 @@ def format_prompt(c: Column) -> Column:
     return F.concat(F.lit(PROMPT_HEAD), c, F.lit(PROMPT_TAIL))
 
 
-def json_kind(v: Column) -> Column:
-    """Kind of a variant: object, array, string, bool, null or number."""
-    def named(name: Column) -> Column:
-        return (F.when(name.isNull(), F.lit(None).cast("string"))
-                .when(F.startswith(name, F.lit("OBJECT")), "object")
-                .when(F.startswith(name, F.lit("ARRAY")), "array")
-                .when(name == "STRING", "string")
-                .when(name == "BOOLEAN", "bool")
-                .when(name == "VOID", "null")
-                .otherwise("number"))
-    return let(F.schema_of_variant(v), named)
+# Kind of JSON text by its first character.
+_FIRST = {"{": "object", "[": "array", '"': "string", "t": "bool", "f": "bool", "n": "null",
+          **{c: "number" for c in "-0123456789"}}
+_KIND_MAP = "map(" + ", ".join(f"{quote(k)}, {quote(v)}" for k, v in _FIRST.items()) + ")"
+NO_STRINGS = "cast(array() AS array<string>)"
+_STRIP = quote(WHITESPACE)
 
 
-def json_text(v: Column, null_text: str = "None") -> Column:
-    """A JSON value as display text: strings bare, true/false as True/False,
-    null as ``null_text``, numbers as written, nested values as JSON."""
-    plain = v.cast("string")
-    return let(json_kind(v), lambda kind:
-               F.when(kind == "null", F.lit(null_text))
-               .when(kind == "bool", F.initcap(plain))
-               .when(kind.isin("object", "array"), F.to_json(v))
-               .otherwise(plain))
+def trim_sql(x: str) -> str:
+    return f"trim(BOTH {_STRIP} FROM {x})"
 
 
-def json_truthy(v: Column) -> Column:
-    """False for null, false, 0, empty text, empty array and empty object."""
-    return let(json_kind(v), lambda kind:
-               F.when(kind.isNull() | (kind == "null"), False)
-               .when(kind == "string", v.cast("string") != "")
-               .when(kind == "bool", v.cast("string") == "true")
-               .when(kind == "number", v.cast("double") != 0)
-               .otherwise(~F.to_json(v).isin("[]", "{}")))
+def kind_sql(json: str) -> str:
+    """Kind of valid, trimmed JSON text: object, array, string, bool, null or
+    number; null for null or empty text."""
+    return f"try_element_at({_KIND_MAP}, left({json}, 1))"
 
 
-def json_field(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, f"$.{name}", "variant")
+def field_sql(v: str, name: str) -> str:
+    return f"try_variant_get({v}, '$.{name}', 'variant')"
 
 
-def unwrap_json(c: Column) -> Column:
-    """JSON text of a reply, decoding JSON-in-a-string once; ``{}`` on failure."""
-    def parse(text: Column) -> Column:
-        return F.when(text == "", F.lit(None).cast("variant")).otherwise(F.try_parse_json(text))
+def text_sql(v: str, null_text: str = "None") -> str:
+    """A variant as display text: strings bare, true/false as True/False, null
+    as ``null_text``, numbers as written, nested values as JSON."""
+    kind = kind_sql("_j")
+    return sql_let("_j", f"to_json({v})", case(
+        (f"{kind} = 'string'", f"cast({v} AS string)"), (f"{kind} = 'null'", quote(null_text)),
+        (f"{kind} = 'bool'", "initcap(_j)"), default="_j"))
 
-    def settle(text: Column, inner) -> Column:
-        return let(parse(text), lambda v: F.when(v.isNull(), "{}")
-                   .when(json_kind(v) == "string", inner(utrim(v.cast("string"))))
-                   .otherwise(text))
 
-    first = utrim(F.coalesce(c, F.lit("")))
-    return let(first, lambda t: settle(t, lambda s: settle(s, lambda _: F.lit("{}"))))
+def truthy_sql(v: str) -> str:
+    """False for null, false, zero, empty text, empty array and empty object."""
+    return sql_let("_j", f"to_json({v})", case(
+        ("_j IS NULL OR _j IN ('null', 'false', '\"\"', '[]', '{}')", "false"),
+        (f"{kind_sql('_j')} = 'number'", f"cast({v} AS double) != 0"), default="true"))
 
 
-def load_json_safe(c: Column) -> Column:
-    """The text when it is a JSON object, else ``{}``."""
-    return F.when(json_kind(F.try_parse_json(c)) == "object", c).otherwise(F.lit("{}"))
+def items_sql(v: str, null_text: str = "None") -> str:
+    """Elements of a variant array as display text."""
+    return f"transform(cast({v} AS array<variant>), _x -> {text_sql('_x', null_text)})"
 
 
-def _string_list(v: Column, null_text: str) -> Column:
-    def listed(kind: Column) -> Column:
-        return (F.when(kind == "string",
-                       F.transform(F.split(v.cast("string"), ","), utrim))
-                .when(kind == "array", F.transform(
-                    v.cast("array<variant>"), lambda x: json_text(x, null_text)))
-                .when(json_truthy(v), F.array(json_text(v, null_text)))
-                .otherwise(empty_strings()))
-    return F.filter(F.coalesce(let(json_kind(v), listed), empty_strings()), nonblank)
+def unwrap_sql(text: str) -> str:
+    """JSON text of a reply, decoding JSON-in-a-string once; ``{}`` on failure."""
+    def settle(t: str, inner: str) -> str:
+        return sql_let(f"{t}v", f"try_parse_json(nullif({t}, ''))", case(
+            (f"{t}v IS NULL", "'{}'"), (f"{kind_sql(t)} = 'string'", inner), default=t))
 
+    second = sql_let("_b", trim_sql("cast(_av AS string)"), settle("_b", "'{}'"))
+    return sql_let("_a", trim_sql(f"coalesce({text}, '')"), settle("_a", second))
 
-def normalize_contact(c: Column, null_text: str = "None") -> Column:
-    """Contact record from reply JSON: six fields, strings and string lists.
 
-    ``null_text`` is the text of a JSON null; pass ``""`` to treat it as absent.
-    """
-    def build(v: Column) -> Column:
-        def text(name: str) -> Column:
-            return let(json_field(v, name), lambda f: F.coalesce(json_text(f, null_text), F.lit("")))
+def unwrap_json(column: str) -> Column:
+    return F.expr(unwrap_sql(column))
+
 
-        def listed(name: str) -> Column:
-            return let(json_field(v, name), lambda f: _string_list(f, null_text))
+def load_json_safe(column: str) -> Column:
+    """The text when it is a JSON object, else ``{}``."""
+    return F.expr(case((f"{kind_sql(trim_sql(column))} = 'object' AND "
+                        f"try_parse_json({column}) IS NOT NULL", column), default="'{}'"))
 
-        return contact(text("full_name"), listed("emails"), listed("phones"),
-                       text("company"), text("position"), text("product"))
 
-    def only_objects(v: Column) -> Column:
-        return F.when(json_kind(v) == "object", v).otherwise(F.parse_json(F.lit("{}")))
+def _strings_sql(f: str, null_text: str) -> str:
+    kind = sql_let("_k", kind_sql(f"to_json({f})"), case(
+        ("_k = 'string'", f"transform(split(cast({f} AS string), ','), _e -> {trim_sql('_e')})"),
+        ("_k = 'array'", items_sql(f, null_text)),
+        (truthy_sql(f), f"array({text_sql(f, null_text)})"), default=NO_STRINGS))
+    return f"filter(coalesce({kind}, {NO_STRINGS}), _e -> {trim_sql('_e')} != '')"
 
-    return let(F.try_parse_json(c), lambda v: let(only_objects(v), build))
+
+def normalize_sql(text: str, null_text: str = "None") -> str:
+    """Contact struct from reply JSON: six fields, strings and string lists."""
+    parts = []
+    for name in CONTACT_FIELDS:
+        value = (_strings_sql("_f", null_text) if name in ("emails", "phones")
+                 else f"coalesce({text_sql('_f', null_text)}, '')")
+        parts.append(f"{quote(name)}, {sql_let('_f', field_sql('_v', name), value)}")
+    record = f"named_struct({', '.join(parts)})"
+    given = case((f"{kind_sql(trim_sql('_t'))} = 'object'", "try_parse_json(_t)"))
+    return sql_let("_t", text, sql_let("_v", f"coalesce({given}, parse_json('{{}}'))", record))
+
+
+def normalize_contact(column: str, null_text: str = "None") -> Column:
+    """Contact record from the JSON text in ``column``.
+
+    ``null_text`` is the text of a JSON null; pass ``""`` to treat it as absent.
+    """
+    return F.expr(normalize_sql(column, null_text))
 
 
-def parse_reply(c: Column, null_text: str = "None") -> Column:
+def parse_reply(column: str, null_text: str = "None") -> Column:
     """Raw model reply to contact record."""
-    return normalize_contact(unwrap_json(c), null_text)
+    return F.expr(normalize_sql(unwrap_sql(column), null_text))
 
 
 def contact_json(record: Column) -> Column:

@@ -9,6 +9,8 @@ from typing import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .sqltext import string_array
+
 # Characters stripped from both ends of a string, and matched by \s.
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 # The same set as the inside of a bracket expression (valid in Java and RE2).
@@ -133,10 +135,14 @@ def is_plain(pattern: str) -> bool:
     return bool(_PLAIN_ASCII.fullmatch(pattern))
 
 
-def casefold_ascii(c: Column) -> Column:
+def casefold_sql(x: str) -> str:
     """Lower case, plus the three letters that case-insensitive regexes equate
     with an ASCII letter although ``lower`` does not (İ, ı and ſ)."""
-    for special, plain in (("İ", "i"), ("ı", "i"), ("ſ", "s")):
+    return f"lower(replace(replace(replace({x}, 'ſ', 's'), 'ı', 'i'), 'İ', 'i'))"
+
+
+def casefold_ascii(c: Column) -> Column:
+    for special, plain in (("ſ", "s"), ("ı", "i"), ("İ", "i")):
         c = F.replace(c, F.lit(special), F.lit(plain))
     return F.lower(c)
 
@@ -155,7 +161,7 @@ def search_any(c: Column, patterns: Iterable[str]) -> Column:
     plain = [p for p in plain if not any(q != p and q in p for q in plain)]
     hit = F.lit(False)
     if plain:
-        needles = F.array(*[F.lit(p) for p in plain])
+        needles = F.expr(string_array(plain))
         hit = let(casefold_ascii(c), lambda t: F.exists(needles, lambda p: F.contains(t, p)))
     if other:
         alternation = "|".join(f"(?:{java_regex(p)})" for p in other)

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import FilterConfig
-from ..functions.text import WS_CLASS, java_regex, let
+from ..functions.sqltext import let as sql_let, quote, string_array
+from ..functions.text import WS_CLASS, casefold_sql, compute_once, java_regex, let
 from .rules import inputs, reason_code, reason_text
 
 # Pattern lists. Searched in body + subject, ignoring case.
@@ -103,6 +104,46 @@ SEARCH_FORMS = {
 }
 
 
+# Words that a match cannot do without: one of each group, ignoring case. They
+# are looked up first, as plain substrings; the regex runs only where all
+# groups are present.
+NEEDED_WORDS = {
+    SPAM_PATTERNS[0]: (("click", "tap", "verify", "confirm", "update"), ("now", "immediately")),
+    SPAM_PATTERNS[1]: (("verify", "confirm", "update"), ("account",)),
+    SPAM_PATTERNS[2]: (("urgent", "immediately", "asap"), ("action", "click", "verify")),
+    SPAM_PATTERNS[3]: (("account", "password", "credentials"), ("expired", "suspended", "locked")),
+    SPAM_PATTERNS[4]: (("won",),),
+    SPAM_PATTERNS[5]: (("congratulations", "claim", "winner", "prize", "jackpot"),),
+    SPAM_PATTERNS[6]: (("free", "claim"), ("money", "cash", "prize", "iphone", "amazon")),
+    SPAM_PATTERNS[7]: (("ransomware", "malware", "trojan", "virus detected"),),
+    SPAM_PATTERNS[8]: (("microsoft", "apple", "amazon", "google"), ("support", "security", "urgent")),
+    SPAM_PATTERNS[9]: (("system",), ("error", "alert", "warning"), ("repair", "fix", "update")),
+    SPAM_PATTERNS[10]: (("cheap", "discount", "order"), ("viagra", "cialis", "phentermine", "xanax")),
+    SPAM_PATTERNS[11]: (("make", "earn", "get"), ("money", "dollars", "fast", "quick")),
+    SPAM_PATTERNS[12]: (("guaranteed", "sure", "risk"), ("profit", "earn", "return")),
+    SPAM_PATTERNS[13]: (("nigerian", "prince", "inheritance", "lottery", "fund"),),
+    PHISHING_PATTERNS[0]: (("click", "tap"), ("confirm", "verify", "update"),
+                           ("credentials", "password", "account")),
+    PHISHING_PATTERNS[1]: (("please",), ("click", "confirm", "verify"),
+                           ("identity", "account", "credentials")),
+    PHISHING_PATTERNS[2]: (("reconfirm", "re-confirm", "reverify", "re-verify"),
+                           ("details", "information", "account")),
+    PHISHING_PATTERNS[3]: (("unusual",), ("activity", "access", "signin", "sign-in")),
+    PHISHING_PATTERNS[4]: (("now", "immediately", "urgent"),),
+    PHISHING_PATTERNS[5]: (("account",), ("closed", "suspended", "limited")),
+    PHISHING_PATTERNS[6]: (("security",), ("reason", "purpose", "update")),
+    PHISHING_PATTERNS[7]: (("system", "account"), ("maintenance", "upgrade", "update")),
+    FORMATTING_PATTERNS[0]: (("!!!", "???", "=========="),),
+    FORMATTING_PATTERNS[2]: (("http", "ftp"), ("tiny", "bit", "short")),
+    FORMATTING_PATTERNS[3]: (("@",), ("bit", "tiny", "short")),
+    FORMATTING_PATTERNS[4]: (("happy", "pleased", "delighted"), ("inform", "notify")),
+    FORMATTING_PATTERNS[5]: (("dear", "valued", "beloved"), ("customer", "user", "friend")),
+}
+# Patterns that say no more than "one of these words".
+WORDS_DECIDE = {SPAM_PATTERNS[4], SPAM_PATTERNS[5], SPAM_PATTERNS[7], SPAM_PATTERNS[13],
+                FORMATTING_PATTERNS[0]}
+
+
 def search_form(pattern: str) -> str:
     form = SEARCH_FORMS.get(pattern)
     if form is None:
@@ -111,10 +152,29 @@ def search_form(pattern: str) -> str:
     return "(?idU)" + form.replace(r"\s", f"[{WS_CLASS}]")
 
 
-def count_hits(text: Column, patterns: tuple[str, ...]) -> Column:
-    """Number of patterns found in ``text``."""
-    return let(text, lambda t: reduce(
-        lambda a, p: a + t.rlike(search_form(p)).cast("int"), patterns, F.lit(0)))
+def hit_counts(column: str, lists: dict[str, tuple[str, ...]]) -> Column:
+    """Struct with the number of patterns of each list found in ``column``.
+
+    The text is folded once and all needed words are looked up in it once.
+    """
+    patterns = [p for group in lists.values() for p in group]
+    words = dict.fromkeys(w for p in patterns for group in NEEDED_WORDS.get(p, ()) for w in group)
+
+    def hit(p: str) -> str:
+        tests = [f"arrays_overlap(_present, {string_array(g)})" for g in NEEDED_WORDS.get(p, ())]
+        if p not in WORDS_DECIDE:
+            tests.append(f"_text RLIKE {quote(search_form(p))}")
+        return f"cast({' AND '.join(tests)} AS int)"
+
+    counts = ", ".join(f"'{name}', {' + '.join(map(hit, group))}" for name, group in lists.items())
+    present = sql_let("_low", casefold_sql("_text"),
+                      f"filter({string_array(words)}, _w -> contains(_low, _w))")
+    return F.expr(sql_let("_text", column, sql_let("_present", present, f"named_struct({counts})")))
+
+
+def count_hits(column: str, patterns: tuple[str, ...]) -> Column:
+    """Number of patterns found in ``column``."""
+    return hit_counts(column, {"n": patterns})["n"]
 
 
 def points(hits: Column, weight: tuple[int, int]) -> Column:
@@ -134,18 +194,24 @@ _OTHER_DIGITS = (
     r"\x{2776}-\x{277e}\x{2780}-\x{2788}\x{278a}-\x{2792}\x{10a40}-\x{10a43}"
     r"\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}"
 )
+# ASCII first: the long class is consulted beyond ASCII only
+_DIGIT = rf"[0-9[\x{{80}}-\x{{10ffff}}&&[\p{{Nd}}{_OTHER_DIGITS}]]]+"
 
 
 def text_quality_points(body: Column) -> Column:
     """3 for fewer than five words, 4 for much punctuation, 3 for many digits."""
     word, gap = rf"[^{WS_CLASS}]++", rf"[{WS_CLASS}]++"
     five_words = rf"\A[{WS_CLASS}]*+{word}(?:{gap}{word}){{4}}"
-    size = F.greatest(F.length(body), F.lit(1))
-    punct = F.length(F.regexp_replace(body, "[^!?.,;:]+", ""))
-    digits = F.length(F.regexp_replace(body, rf"[^\p{{Nd}}{_OTHER_DIGITS}]+", ""))
-    return (F.when(~body.rlike(five_words), 3).otherwise(0)
-            + F.when(punct / size > 0.15, 4).otherwise(0)
-            + F.when(digits / size > 0.2, 3).otherwise(0))
+
+    def judge(size: Column) -> Column:
+        punct = F.length(F.regexp_replace(body, "[^!?.,;:]+", ""))
+        digits = size - F.length(F.regexp_replace(body, _DIGIT, ""))
+        whole = F.greatest(size, F.lit(1))
+        return (F.when(~body.rlike(five_words), 3).otherwise(0)
+                + F.when(punct / whole > 0.15, 4).otherwise(0)
+                + F.when(digits / whole > 0.2, 3).otherwise(0))
+
+    return let(F.length(body), judge)
 
 
 def with_risk(df: DataFrame, cfg: FilterConfig, phase: str = "pre",
@@ -163,18 +229,20 @@ def with_risk(df: DataFrame, cfg: FilterConfig, phase: str = "pre",
     gate = (lambda c: c) if only is None else (lambda c: F.when(only, c))
     has_prob = cfg.ml_enabled and probability is not None and probability in df.columns
     prob = F.coalesce(F.col(probability), F.lit(0.0)) if has_prob else F.lit(0.0)
+    hits = hit_counts("_both", {"spam_hits": SPAM_PATTERNS, "phishing_hits": PHISHING_PATTERNS,
+                             "formatting_hits": FORMATTING_PATTERNS})
+    measured = compute_once(df.withColumn("_both", text), {"_hits": gate(hits), "_text": gate(text_quality_points(x.body))})
     scored = (
-        df.withColumn("spam_hits", gate(count_hits(text, SPAM_PATTERNS)))
-        .withColumn("phishing_hits", gate(count_hits(text, PHISHING_PATTERNS)))
-        .withColumn("formatting_hits", gate(count_hits(text, FORMATTING_PATTERNS)))
+        measured.select("*", "_hits.*")
         .withColumns({
             "spam_points": points(F.col("spam_hits"), SPAM_WEIGHT),
             "phishing_points": points(F.col("phishing_hits"), PHISHING_WEIGHT),
             "formatting_points": points(F.col("formatting_hits"), FORMATTING_WEIGHT),
             "email_points": F.when(suspicious_emails(x.emails), 15).otherwise(0),
             "ml_points": (prob * 20).cast("double"),
-            "text_points": gate(text_quality_points(x.body)),
+            "text_points": F.col("_text"),
         })
+        .drop("_hits", "_text", "_both")
     )
     total = reduce(lambda a, b: a + b, [F.col(c) for c in (
         "spam_points", "phishing_points", "formatting_points", "email_points",
@@ -256,7 +324,7 @@ def advanced_verdict(df: DataFrame, cfg: FilterConfig, phase: str = "pre",
     reaches the threshold. Adds ``is_spam``, ``reason_code``, ``reason`` and
     ``risk_score``."""
     x = inputs(df, phase)
-    judged = df.withColumn("_basic", reason_code(x, cfg))
+    judged = compute_once(df, {"_basic": reason_code(x, cfg)})
     # the basic rules are cheaper: what they reject is not scored
     scored = with_risk(judged, cfg, phase, probability, only=F.col("_basic").isNull())
     risky = F.col("risk_score") >= cfg.risk_threshold

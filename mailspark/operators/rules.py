@@ -10,6 +10,7 @@ from typing import Iterable, NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import FilterConfig
+from ..functions.sqltext import quote, string_array
 from ..functions.text import (casefold_ascii, compute_once, is_plain, let, match_start_any,
                               search_any)
 
@@ -62,7 +63,7 @@ def is_forward(subject: Column) -> Column:
 
 def company_in(company: Column, names: Iterable[str]) -> Column:
     """True when the company contains any entry, ignoring case."""
-    entries = F.array(*[F.lit(n.lower()) for n in names])
+    entries = F.expr(string_array(n.lower() for n in names))
     return (company != "") & let(
         F.lower(company), lambda c: F.exists(entries, lambda n: F.contains(c, n)))
 
@@ -238,9 +239,9 @@ def rule_hits(df: DataFrame, rules: Iterable[Rule], chunk: int = 500) -> DataFra
     rules = list(rules)
     x = inputs(df)
 
-    def label(rule: Rule) -> Column:
-        return F.struct(F.lit(rule.rule_id).cast("int").alias("rule_id"),
-                        F.lit(rule.kind).alias("kind"), F.lit(rule.pattern).alias("pattern"))
+    def label_sql(rule: Rule) -> str:
+        return (f"named_struct('rule_id', {rule.rule_id}, 'kind', {quote(rule.kind)}, "
+                f"'pattern', {quote(rule.pattern)})")
 
     def one_pass(part: list[Rule]) -> DataFrame:
         hits = []
@@ -251,12 +252,13 @@ def rule_hits(df: DataFrame, rules: Iterable[Rule], chunk: int = 500) -> DataFra
             plain = [(r, p) for r, p in compiled if match is search_any and is_plain(p)]
             if plain:
                 # text rules share one folded copy of the message
-                needles = F.array(*[F.struct(F.lit(p.lower()).alias("needle"),
-                                             label(r).alias("rule")) for r, p in plain])
+                needles = F.expr("array(" + ", ".join(
+                    f"named_struct('needle', {quote(p.lower())}, 'rule', {label_sql(r)})"
+                    for r, p in plain) + ")")
                 hits.append(let(casefold_ascii(source), lambda t: F.transform(
                     F.filter(needles, lambda n: F.contains(t, n["needle"])),
                     lambda n: n["rule"])))
-            others = [F.when(match(source, [p]), label(r)) for r, p in compiled
+            others = [F.when(match(source, [p]), F.expr(label_sql(r))) for r, p in compiled
                       if (r, p) not in plain]
             if others:
                 hits.append(F.filter(F.array(*others), lambda h: h.isNotNull()))
@@ -294,6 +296,6 @@ def rule_usage(hits: DataFrame, spark_rules: DataFrame) -> DataFrame:
 
 
 def rules_frame(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """Rules as a DataFrame in the session of ``df``."""
-    return df.sparkSession.createDataFrame(
-        [tuple(r) for r in rules], "rule_id int, kind string, pattern string")
+    """Rules as a small literal table in the session of ``df``."""
+    rows = ", ".join(f"({r.rule_id}, {quote(r.kind)}, {quote(r.pattern)})" for r in rules)
+    return df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(rule_id, kind, pattern)")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import FilterConfig
-from ..functions.extract import json_field, json_kind
+from ..functions.extract import field_sql, kind_sql
+from ..functions.sqltext import case, let as sql_let, string_array
 from ..functions.text import utrim
 from .rules import compile_patterns
 
@@ -136,29 +137,30 @@ def validate_results(results: DataFrame, value: str = "value",
     ``EMAILS_NOT_LIST``, ``PHONES_NOT_LIST``. A missing list counts as both
     missing and not a list.
     """
-    staged = (results
-              .withColumn("_text", utrim(F.coalesce(F.col(value), F.lit(""))))
-              .withColumn("_v", F.when(F.col("_text") != "", F.try_parse_json("_text")))
-              .withColumn("_kind", json_kind(F.col("_v"))))
-    v = F.col("_v")
-    missing = F.array_except(F.array(*[F.lit(k) for k in REQUIRED_KEYS]),
-                             F.json_object_keys("_text"))
-
-    def issue(cond: Column, code: str, detail: Column) -> Column:
-        return F.when(cond, F.struct(F.lit(code).alias("issue"), detail.alias("detail")))
-
-    def kind_of(name: str) -> Column:
-        return F.coalesce(json_kind(json_field(v, name)), F.lit("missing"))
-
-    obj = F.col("_kind") == "object"
-    issues = F.array(
-        issue(F.col("_kind").isNull(), "INVALID_JSON", F.lit("")),
-        issue(F.col("_kind").isNotNull() & ~obj, "NOT_OBJECT", F.col("_kind")),
-        issue(obj & (F.size(missing) > 0), "MISSING_KEYS", F.array_join(missing, ",")),
-        issue(obj & (kind_of("emails") != "array"), "EMAILS_NOT_LIST", kind_of("emails")),
-        issue(obj & (kind_of("phones") != "array"), "PHONES_NOT_LIST", kind_of("phones")))
-    return (staged.select(filename, F.explode(F.filter(issues, lambda i: i.isNotNull())).alias("i"))
-            .select(F.col(filename).alias("filename"), "i.issue", "i.detail"))
+    staged = (results.select(F.col(filename).alias("filename"),
+                             utrim(F.coalesce(F.col(value), F.lit(""))).alias("_text"))
+              .withColumn("_v", F.expr("try_parse_json(nullif(_text, ''))")))
+    kind = case(("_v IS NULL", "NULL"), default=kind_sql("_text"))
+    required = string_array(REQUIRED_KEYS)
+    missing = f"array_except({required}, json_object_keys(_text))"
+
+    def kind_of(name: str) -> str:
+        return f"coalesce({kind_sql('to_json(' + field_sql('_v', name) + ')')}, 'missing')"
+
+    def issue(cond: str, code: str, detail: str) -> str:
+        return f"CASE WHEN {cond} THEN named_struct('issue', '{code}', 'detail', {detail}) END"
+
+    issues = sql_let("_k", kind, "array_compact(array(" + ", ".join((
+        issue("_k IS NULL", "INVALID_JSON", "''"),
+        issue("_k != 'object'", "NOT_OBJECT", "_k"),
+        issue(f"_k = 'object' AND size({missing}) > 0", "MISSING_KEYS",
+              f"array_join({missing}, ',')"),
+        issue(f"_k = 'object' AND {kind_of('emails')} != 'array'", "EMAILS_NOT_LIST",
+              kind_of("emails")),
+        issue(f"_k = 'object' AND {kind_of('phones')} != 'array'", "PHONES_NOT_LIST",
+              kind_of("phones")))) + "))")
+    return (staged.select("filename", F.explode(F.expr(issues)).alias("i"))
+            .select("filename", "i.issue", "i.detail"))
 
 
 def evaluate_verdicts(predicted: DataFrame, truth: DataFrame, pred: str = "is_spam",

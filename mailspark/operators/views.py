@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.extract import (json_field, json_kind, json_text, json_truthy)
-from ..functions.text import compute_once, fold, is_default, let, nonblank, utrim
+from ..functions.extract import (NO_STRINGS, field_sql, items_sql, kind_sql, text_sql, trim_sql,
+                                 truthy_sql)
+from ..functions.sqltext import case, let as sql_let, quote
+from ..functions.text import compute_once, fold, is_default, nonblank, utrim
 
 # Placeholders of the view.
 NOT_GIVEN, NOT_FOUND = "Не указано", "Не найдено"
@@ -27,34 +29,29 @@ _TYPE_NAMES = {"array": "list", "string": "str", "bool": "bool", "null": "NoneTy
 VIEW_FIELDS = ("full_name", "company", "position", "emails", "phones", "product", "raw_content")
 
 
-def _strings() -> Column:
-    return F.array().cast("array<string>")
-
-
-def _list_field(v: Column, name: str) -> Column:
+def _list_sql(name: str) -> str:
     """List as is; a single truthy value becomes a one-element list."""
-    def build(f: Column) -> Column:
-        return (F.when(json_kind(f) == "array",
-                       F.transform(f.cast("array<variant>"), lambda x: json_text(x)))
-                .when(json_truthy(f), F.array(json_text(f)))
-                .otherwise(_strings()))
-    return F.coalesce(let(json_field(v, name), build), _strings())
+    built = case((f"{kind_sql('to_json(_f)')} = 'array'", items_sql("_f")),
+                 (truthy_sql("_f"), f"array({text_sql('_f')})"), default=NO_STRINGS)
+    return f"coalesce({sql_let('_f', field_sql('_v', name), built)}, {NO_STRINGS})"
 
 
-def _text_field(v: Column, field: str) -> Column:
+def _text_field_sql(field: str) -> str:
     """First truthy spelling of a field, else its default."""
-    found = [let(json_field(v, alias), lambda f: F.when(json_truthy(f), json_text(f)))
+    tries = [sql_let("_f", field_sql("_v", alias), case((truthy_sql("_f"), text_sql("_f"))))
              for alias in ALIASES[field]]
-    return F.coalesce(*found, F.lit(_DEFAULTS[field]))
+    return f"coalesce({', '.join(tries)}, {quote(_DEFAULTS[field])})"
 
 
-def _name_from_any_key(text: Column) -> Column:
-    """Value of the first key, in document order, that contains ``name`` and
-    holds text or a list."""
-    pairs = F.map_entries(F.from_json(text, "map<string,variant>"))
-    usable = F.filter(pairs, lambda e: F.contains(F.lower(e["key"]), F.lit("name"))
-                      & json_kind(e["value"]).isin("string", "array"))
-    return json_text(F.get(usable, F.lit(0))["value"])
+def _name_sql() -> str:
+    """The full name; when absent, the value of the first key, in document
+    order, that contains ``name`` and holds text or a list."""
+    usable = ("filter(map_entries(from_json(_text, 'map<string,variant>')), _e -> "
+              f"contains(lower(_e.key), 'name') AND {kind_sql('to_json(_e.value)')} "
+              "IN ('string', 'array'))")
+    other = sql_let("_w", f"get({usable}, 0).value", text_sql("_w"))
+    return sql_let("_n", _text_field_sql("full_name"), case(
+        (f"_n = {quote(NOT_GIVEN)}", f"coalesce({other}, _n)"), default="_n"))
 
 
 def normalize_view(df: DataFrame, value: str = "value", filename: str = "filename") -> DataFrame:
@@ -66,52 +63,44 @@ def normalize_view(df: DataFrame, value: str = "value", filename: str = "filenam
     (``ok``, ``not_json``, ``not_object``).
     """
     keep = [c for c in df.columns if c not in (value, *VIEW_FIELDS)]
-    staged = df.select(
-        *keep, F.col(filename).alias("_name"),
-        utrim(F.coalesce(F.col(value), F.lit(""))).alias("_content"))
-    parsed = compute_once(staged, {
-        "_outer": F.when(F.col("_content") != "", F.try_parse_json("_content"))})
-    parsed = compute_once(parsed, {
-        "_okind": json_kind(F.col("_outer")),
-        # a JSON string is parsed once more
-        "_text": F.when(json_kind(F.col("_outer")) == "string", F.col("_outer").cast("string"))
-        .otherwise(F.col("_content"))})
-    # text inside a string that is not JSON itself means "no fields"
-    inner = F.when(F.col("_okind") != "string", F.col("_outer")).when(
-        F.col("_text") != "", F.try_parse_json("_text"))
-    parsed = compute_once(parsed, {"_v": F.coalesce(inner, F.parse_json(F.lit("{}")))})
-    parsed = compute_once(parsed, {
-        "_kind": F.when(F.col("_okind").isNotNull(), json_kind(F.col("_v")))})
-    status = (F.when(F.col("_kind").isNull(), "not_json")
-              .when(F.col("_kind") == "object", "ok").otherwise("not_object"))
-    parsed = compute_once(parsed, {"parse_status": status})
-
-    def by_status(ok: Column, bad_json: Column, bad_object: Column) -> Column:
-        return (F.when(F.col("parse_status") == "ok", ok)
-                .when(F.col("parse_status") == "not_json", bad_json).otherwise(bad_object))
-
-    v, name = F.col("_v"), F.col("_name")
-    full_name = let(_text_field(v, "full_name"), lambda n: F.when(
-        n == NOT_GIVEN, F.coalesce(_name_from_any_key(F.col("_text")), n)).otherwise(n))
-    type_name = F.lit("int")
-    for kind, label in _TYPE_NAMES.items():
-        type_name = F.when(F.col("_kind") == kind, F.lit(label)).otherwise(type_name)
-    type_name = F.when((F.col("_kind") == "number") & F.col("_text").rlike("[.eE]"),
-                       F.lit("float")).otherwise(type_name)
-    error = F.concat(F.lit("'"), type_name, F.lit("' object has no attribute 'get'"))
+    staged = df.select(*keep, F.col(filename).alias("_name"),
+                       utrim(F.coalesce(F.col(value), F.lit(""))).alias("_content"))
+    # a JSON string is parsed once more; if that fails it has no fields
+    is_string = f"{kind_sql('_content')} = 'string'"
+    inner = case((f"NOT {is_string}", "_o"), default="try_parse_json(nullif(_t, ''))")
+    kind = case(("_o IS NULL", "NULL"), ("_i IS NULL", "'object'"),
+                default=kind_sql(trim_sql("_t")))
+    parsed = sql_let("_o", "try_parse_json(nullif(_content, ''))", sql_let(
+        "_t", case((is_string, "cast(_o AS string)"), default="_content"), sql_let(
+            "_i", inner, "named_struct('_text', _t, '_v', coalesce(_i, parse_json('{}')), "
+                         f"'_kind', {kind})")))
+    status = case(("_kind IS NULL", "'not_json'"), ("_kind = 'object'", "'ok'"),
+                  default="'not_object'")
+    staged = (compute_once(staged, {"_p": F.expr(parsed)})
+              .select(*keep, "_name", "_content", "_p.*")
+              .withColumn("parse_status", F.expr(status)))
+
+    def by_status(ok: str, bad_json: str, bad_object: str) -> Column:
+        return F.expr(case(("parse_status = 'ok'", ok), ("parse_status = 'not_json'", bad_json),
+                           default=bad_object))
+
+    number = "CASE WHEN _text RLIKE '[.eE]' THEN 'float' ELSE 'int' END"
+    type_name = case(*[(f"_kind = '{k}'", quote(label)) for k, label in _TYPE_NAMES.items()],
+                     default=number)
+    error = f"concat({quote(chr(39))}, {type_name}, {quote(chr(39))}, ' object has no attribute ', \"'get'\")"
     fields = {
-        "full_name": by_status(full_name, F.concat(F.lit(BAD_JSON_NAME), name),
-                               F.concat(F.lit(BAD_FILE_NAME), name)),
-        "company": by_status(_text_field(v, "company"), F.lit(BAD_JSON_COMPANY),
-                             F.lit(BAD_FILE_COMPANY)),
-        "position": by_status(_text_field(v, "position"), F.lit(BAD_POSITION),
-                              F.lit(BAD_POSITION)),
-        "emails": by_status(_list_field(v, "emails"), _strings(), _strings()),
-        "phones": by_status(_list_field(v, "phones"), _strings(), _strings()),
-        "product": by_status(_text_field(v, "product"), F.lit(""), F.lit(NOT_FOUND)),
-        "raw_content": by_status(F.col("_content"), F.col("_content"), error),
+        "full_name": by_status(_name_sql(), f"concat({quote(BAD_JSON_NAME)}, _name)",
+                               f"concat({quote(BAD_FILE_NAME)}, _name)"),
+        "company": by_status(_text_field_sql("company"), quote(BAD_JSON_COMPANY),
+                             quote(BAD_FILE_COMPANY)),
+        "position": by_status(_text_field_sql("position"), quote(BAD_POSITION),
+                              quote(BAD_POSITION)),
+        "emails": by_status(_list_sql("emails"), NO_STRINGS, NO_STRINGS),
+        "phones": by_status(_list_sql("phones"), NO_STRINGS, NO_STRINGS),
+        "product": by_status(_text_field_sql("product"), "''", quote(NOT_FOUND)),
+        "raw_content": by_status("_content", "_content", error),
     }
-    return compute_once(parsed, fields).select(*keep, *VIEW_FIELDS, "parse_status")
+    return compute_once(staged, fields).select(*keep, *VIEW_FIELDS, "parse_status")
 
 
 def sufficient(company: Column, full_name: Column, emails: Column, phones: Column) -> Column:

@@ -154,7 +154,7 @@ def prompts(spark, sf):
 
 @query
 def reply_unwrap(spark, sf):
-    return A.replies(spark, sf).select("uid", X.unwrap_json(F.col("reply")).alias("json"))
+    return A.replies(spark, sf).select("uid", X.unwrap_json("reply").alias("json"))
 
 
 @query
@@ -164,7 +164,7 @@ def normalize_contact(spark, sf):
 
 @query
 def load_json_safe(spark, sf):
-    return A.replies(spark, sf).select("uid", X.load_json_safe(F.col("reply")).alias("json"))
+    return A.replies(spark, sf).select("uid", X.load_json_safe("reply").alias("json"))
 
 
 # ---- text and messages ---------------------------------------------------
@@ -307,8 +307,9 @@ def rule_usage(spark, sf):
 
 def _hits(spark, sf, patterns, weight) -> DataFrame:
     m = A.messages(spark, sf)
-    hits = R.count_hits(F.concat("body", "subject"), patterns)
-    return (m.select("uid", hits.alias("h"))
+    hits = R.count_hits("both", patterns)
+    return (m.select("uid", F.concat("body", "subject").alias("both"))
+            .select("uid", hits.alias("h"))
             .select("uid", big("h").alias("hits"), big(R.points(F.col("h"), weight)).alias("points")))
 
 
@@ -424,7 +425,7 @@ def _stored(spark, store: I.Stores) -> DataFrame:
         "uid", F.lit("rejected").alias("status"), "reason_code", F.lit("").alias("emails"),
         F.lit("").alias("product"))
     got = stores.read_results(spark, store.results).withColumn(
-        "contact", X.normalize_contact(F.col("value")))
+        "contact", X.normalize_contact("value"))
     accepted = got.select(
         "uid", F.lit("accepted").alias("status"), F.lit(None).cast("string").alias("reason_code"),
         joined(F.col("contact")["emails"]).alias("emails"),
