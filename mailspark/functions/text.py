@@ -108,6 +108,10 @@ def java_regex(pattern: str) -> str:
         elif not in_class and pattern.startswith("(?P<", i):
             out.append("(?<")
             i += 4
+        elif in_class and pattern.startswith("A-Z", i):
+            # two letters (İ and the Kelvin sign) fold to lower case only
+            out.append("A-Za-z")
+            i += 3
         elif in_class and two[0] in "[&":
             out.append("\\" + two[0])
             i += 1

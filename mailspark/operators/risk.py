@@ -93,7 +93,7 @@ SEARCH_FORMS = {
     PHISHING_PATTERNS[5]: r"account\s+(?:will|may)\s+be\s+(?:closed|suspended|limited)",
     PHISHING_PATTERNS[6]: r"security\s+(?:reason|purpose|update)",
     PHISHING_PATTERNS[7]: _on_line("system|account", "maintenance|upgrade|update"),
-    FORMATTING_PATTERNS[1]: r"(?<![A-Z])[A-Z]{5,}+\s++[A-Z]{5,}+\s",
+    FORMATTING_PATTERNS[1]: r"(?<![A-Za-z])[A-Za-z]{5,}+\s++[A-Za-z]{5,}+\s",
     FORMATTING_PATTERNS[2]: _on_line("http|ftp", "tiny|bit|short"),
     FORMATTING_PATTERNS[3]: _on_line("@", "bit|tiny|short"),
     FORMATTING_PATTERNS[4]: _on_line(
