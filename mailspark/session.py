@@ -43,6 +43,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def arrow_uri(spark: SparkSession, path: str) -> str:
+    """The path as Spark resolves it, spelled for Arrow's file systems."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = fs.makeQualified(hadoop_path).toString()
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        return uri[len("file:"):]      # a local path, taken as it is
+    return uri.replace("s3a://", "s3://", 1)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

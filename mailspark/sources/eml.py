@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from ..functions.text import message_text
+from ..session import arrow_uri
 
 EML_GLOB = "*.[eE][mM][lL]"
 EML_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -22,9 +23,23 @@ PARSED_SCHEMA = ("uid string, subject string, sender string, body string, html s
 
 
 def file_stem(path: Column) -> Column:
-    """File name without its last extension, percent-escapes undone."""
-    name = F.element_at(F.split(path, "/"), -1)
-    return F.regexp_replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), r"\.[^.]+\z", "")
+    """File name without its last extension."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]+\z", "")
+
+
+def empty_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """``name`` of the zero-length files of a folder, which file scans skip.
+
+    Only these names leave the listing.
+    """
+    from pyarrow import fs
+
+    uri = arrow_uri(spark, path)
+    source, root = ((fs.LocalFileSystem(), uri) if uri.startswith("/")
+                    else fs.FileSystem.from_uri(uri))
+    names = [(info.base_name,) for info in source.get_file_info(fs.FileSelector(root))
+             if info.is_file and info.size == 0 and info.base_name.lower().endswith(suffix)]
+    return spark.createDataFrame(names, "name string")
 
 
 def read_eml(spark: SparkSession, path: str) -> DataFrame:
@@ -40,11 +55,14 @@ def read_eml(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(err):
             raise
         return spark.createDataFrame([], "uid string, content binary")
-    return files.select(file_stem(F.col("path")).alias("uid"), "content")
+    empty = empty_files(spark, path, ".eml").select(
+        file_stem(F.col("name")).alias("uid"), F.unhex(F.lit("")).alias("content"))
+    return files.select(file_stem(F.col("path")).alias("uid"), "content").unionByName(empty)
 
 
 def stream_eml(spark: SparkSession, path: str, files_per_trigger: int = 10_000) -> DataFrame:
-    """The same as a stream: each arriving file once."""
+    """The same as a stream: each arriving file once. File streams pass over
+    zero-length files."""
     files = (spark.readStream.format("binaryFile").schema(EML_SCHEMA)
              .option("pathGlobFilter", EML_GLOB)
              .option("maxFilesPerTrigger", files_per_trigger).load(path))
@@ -58,14 +76,17 @@ def _part_text(part) -> str:
         return (part.get_payload(decode=True) or b"").decode("utf-8", errors="replace")
 
 
-def parse_message(content: bytes | str | None, bare_sender: bool = False) -> tuple:
+def parse_message(content: bytes | str | None, bare_sender: bool = False,
+                  eight_bit: bool = False) -> tuple:
     """One raw message to (subject, sender, body, html, raw, size, error)."""
     try:
         raw = content or b""
         if isinstance(raw, (bytes, bytearray)):
             raw = bytes(raw).decode("utf-8", errors="replace")
         raw = raw.replace("\r\n", "\n").replace("\r", "\n")
-        msg = email.message_from_string(raw, policy=email.policy.SMTPUTF8)
+        policy = email.policy.SMTPUTF8
+        msg = (email.message_from_bytes(raw.encode("utf-8", errors="replace"), policy=policy)
+               if eight_bit else email.message_from_string(raw, policy=policy))
         body, html = "", None
         parts = msg.walk() if msg.is_multipart() else [msg]
         for part in parts:
@@ -85,17 +106,20 @@ def parse_message(content: bytes | str | None, bare_sender: bool = False) -> tup
         return ("", "", "", None, "", 0, f"{type(err).__name__}: {err}")
 
 
-def parse_messages(df: DataFrame, content: str = "content", bare_sender: bool = False) -> DataFrame:
+def parse_messages(df: DataFrame, content: str = "content", bare_sender: bool = False,
+                   eight_bit: bool = False) -> DataFrame:
     """Raw messages to parsed columns, in one Arrow stage.
 
     The first ``text/plain`` part is the body; otherwise the first
     ``text/html`` part seen before it is kept as HTML. A message that cannot
     be parsed yields empty fields and ``parse_error``. ``bare_sender`` keeps
-    only the address of the From header.
+    only the address of the From header. By default the message is parsed as
+    text, which leaves non-ASCII letters of a part without transfer encoding
+    as ``\\uXXXX`` escapes; ``eight_bit`` reads such parts in their charset.
     """
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(u, *parse_message(c, bare_sender))
+            rows = [(u, *parse_message(c, bare_sender, eight_bit))
                     for u, c in zip(batch["uid"], batch["content"])]
             yield pd.DataFrame(rows, columns=[
                 "uid", "subject", "sender", "body", "html", "raw", "size_bytes", "parse_error"])

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import LINE_BREAKS, utrim
-from .eml import file_stem
+from ..session import arrow_uri
+from .eml import empty_files
 
 # --------------------------------------------------------------------------
 # one file per row
@@ -19,13 +20,15 @@ def write_files(df: DataFrame, path: str, name: str = "name", text: str = "text"
     """Write each row's ``text`` to ``path/name``, in parallel from the tasks.
 
     Names are decided by the data, so a retried task writes the same file
-    again. ``path`` may be any URI that Arrow's file systems understand.
+    again. Works on every file system that Arrow knows.
     """
+    uri = arrow_uri(df.sparkSession, path)
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
-        target, root = fs.FileSystem.from_uri(uri)
+        target, root = ((fs.LocalFileSystem(), uri) if uri.startswith("/")
+                        else fs.FileSystem.from_uri(uri))
         target.create_dir(root, recursive=True)
         for batch in batches:
             for file_name, content in zip(batch["name"], batch["text"]):
@@ -39,10 +42,15 @@ def write_files(df: DataFrame, path: str, name: str = "name", text: str = "text"
 
 def read_result_files(spark: SparkSession, path: str) -> DataFrame:
     """``filename, path, value`` for every ``.json`` file in a folder."""
-    return (spark.read.option("pathGlobFilter", "*.json").option("wholetext", True).text(path)
+    full = (spark.read.option("pathGlobFilter", "*.json").option("wholetext", True).text(path)
+            # the metadata name is percent-encoded, except for +
             .select(F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
                     .alias("filename"),
                     F.col("_metadata.file_path").alias("path"), "value"))
+    empty = empty_files(spark, path, ".json").filter(F.endswith("name", F.lit(".json")))
+    return full.unionByName(empty.select(
+        F.col("name").alias("filename"),
+        F.concat(F.lit(path.rstrip("/") + "/"), "name").alias("path"), F.lit("").alias("value")))
 
 
 # --------------------------------------------------------------------------
