@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import FilterConfig
@@ -188,30 +189,33 @@ def evaluate_verdicts(predicted: DataFrame, truth: DataFrame, pred: str = "is_sp
     })
 
 
-def renumber(uids: DataFrame, uid: str = "uid", buckets: int = 200) -> DataFrame:
+def renumber(uids: DataFrame, uid: str = "uid", per_bucket: int = 1_000_000) -> DataFrame:
     """Map all-digit uids, in numeric order, to 1..n: ``uid, new_uid``.
 
-    No single task sorts all uids. Quantiles of the uids give at most
-    ``buckets`` boundaries; each bucket is numbered on its own and shifted by
-    the size of the buckets before it. Ties (``7`` and ``007``) follow the
-    text. Both exports of a message use this one mapping, so they stay paired.
+    No single task sorts all uids. Quantiles split them into buckets of about
+    ``per_bucket`` (at most 5000 buckets); each bucket is numbered on its own
+    and shifted by the size of the buckets before it. Ties (``7`` and ``007``)
+    follow the text. Every export of a message uses this one mapping, so its
+    files stay paired.
     """
     digits = (uids.select(F.col(uid).cast("string").alias("uid"))
-              .filter(F.col("uid").rlike(r"\A[0-9]+\z")))
-    size = F.col("uid").cast("double")
-    points = [i / buckets for i in range(1, buckets)]
-    bounds = digits.agg(F.percentile_approx(size, points, 10000)).first()[0] or []
-    # at most `buckets` numbers; they only steer the split, never the result
-    edges = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>")
-    # numeric order of digit strings of any length: without leading zeros,
-    # by length, then by text
-    bare = F.ltrim(F.col("uid"), F.lit("0"))
-    bucketed = (digits.distinct()
-                .withColumn("_b", F.size(F.filter(edges, lambda e: e < size)))
-                .withColumn("_t", bare))
+              .filter(F.col("uid").rlike(r"\A[0-9]+\z"))
+              .withColumn("_size", F.col("uid").cast("double")))
+    points = ", ".join(f"{i / 5000}D" for i in range(1, 5000))
+    n, bounds = digits.agg(
+        F.count(F.lit(1)), F.expr(f"percentile_approx(_size, array({points}), 50000)")).first()
+    # at most 5000 numbers; they steer the split and never the result
+    step = max(1, round(5000 * per_bucket / max(n, 1)))
+    inner = sorted({b for b in (bounds or [])[step - 1::step] if 0 < b < float("inf")})
+    splits = [float("-inf"), 0.0, *inner, float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="_size", outputCol="_b")
+    # numeric order of digit strings of any length: without leading zeros, by
+    # length, then by text
+    bucketed = cut.transform(digits.distinct()).withColumn("_t", F.ltrim(F.col("uid"), F.lit("0")))
     ranked = bucketed.withColumn("_r", F.row_number().over(
         Window.partitionBy("_b").orderBy(F.length("_t"), "_t", "uid")))
-    # one row per bucket: a window over these few rows is safe
+    # one row per bucket: a window over these few rows is safe, and so is
+    # broadcasting them
     before = (bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
               .select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_before")))
     return (ranked.join(F.broadcast(before), "_b")

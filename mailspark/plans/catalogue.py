@@ -181,13 +181,13 @@ def html_text(spark, sf):
 @query
 def message_text(spark, sf):
     """Pages as messages through the MIME stage, then their text."""
-    parsed = eml.with_text(eml.parse_messages(A.raw_pages(spark, sf)))
+    parsed = eml.with_text(eml.parse_messages(A.raw_pages(spark, sf), keep_raw=False))
     return parsed.select("uid", "subject", "sender", F.md5("body").alias("body_md5"))
 
 
 @query
 def parse_messages(spark, sf):
-    parsed = eml.parse_messages(A.raw_messages(A.messages(spark, sf)))
+    parsed = eml.parse_messages(A.raw_messages(A.messages(spark, sf)), keep_raw=False)
     return parsed.select("uid", "subject", "sender", F.md5("body").alias("body_md5"),
                          (F.col("size_bytes") > F.octet_length("body")).alias("raw_is_larger"))
 
@@ -411,7 +411,7 @@ def split_spam(spark, sf):
 
 @query
 def isolate_errors(spark, sf):
-    parsed = eml.parse_messages(A.raw_messages(A.messages(spark, sf)))
+    parsed = eml.parse_messages(A.raw_messages(A.messages(spark, sf)), keep_raw=False)
     good, bad = eml.isolate_errors(parsed)
     sides = (good.select("sender", F.lit(1).alias("g"))
              .unionByName(bad.select(F.lit("").alias("sender"), F.lit(0).alias("g"))))
@@ -464,7 +464,7 @@ def eml_roundtrip(spark, sf):
     raw = A.raw_messages(A.thread_messages(spark, sf))
     stores.write_files(raw.select(F.concat("uid", F.lit(".EML")).alias("name"),
                                   F.col("content").alias("text")), path)
-    parsed = eml.with_text(eml.parse_messages(eml.read_eml(spark, path)))
+    parsed = eml.with_text(eml.parse_messages(eml.read_eml(spark, path), keep_raw=False))
     return parsed.select("uid", "subject", "sender", F.md5("body").alias("body_md5"))
 
 

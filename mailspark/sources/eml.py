@@ -107,7 +107,7 @@ def parse_message(content: bytes | str | None, bare_sender: bool = False,
 
 
 def parse_messages(df: DataFrame, content: str = "content", bare_sender: bool = False,
-                   eight_bit: bool = False) -> DataFrame:
+                   eight_bit: bool = False, keep_raw: bool = True) -> DataFrame:
     """Raw messages to parsed columns, in one Arrow stage.
 
     The first ``text/plain`` part is the body; otherwise the first
@@ -116,13 +116,15 @@ def parse_messages(df: DataFrame, content: str = "content", bare_sender: bool =
     only the address of the From header. By default the message is parsed as
     text, which leaves non-ASCII letters of a part without transfer encoding
     as ``\\uXXXX`` escapes; ``eight_bit`` reads such parts in their charset.
+    Without ``keep_raw`` the raw text does not travel back and is empty.
     """
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(u, *parse_message(c, bare_sender, eight_bit))
                     for u, c in zip(batch["uid"], batch["content"])]
-            yield pd.DataFrame(rows, columns=[
+            parsed = pd.DataFrame(rows, columns=[
                 "uid", "subject", "sender", "body", "html", "raw", "size_bytes", "parse_error"])
+            yield parsed if keep_raw else parsed.assign(raw="")
 
     return (df.select("uid", F.col(content).alias("content"))
             .mapInPandas(parse, schema=PARSED_SCHEMA))

@@ -94,6 +94,11 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return read_latest(spark, path).withColumn("filename", F.concat("uid", F.lit(".json")))
 
 
+def read_result(spark: SparkSession, path: str, uid: str) -> DataFrame:
+    """The stored result of one message; the key reaches the parquet scan."""
+    return read_results(spark, path).filter(F.col("uid") == uid)
+
+
 def review_rows(judged: DataFrame, when: Column | None = None) -> DataFrame:
     """Review items of rejected messages; ``extracted_data`` is the contact
     where extraction has run, else null."""

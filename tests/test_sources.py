@@ -112,6 +112,15 @@ def test_upsert_keeps_the_latest(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "compact")).count() == 2
 
 
+def test_point_lookup_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "store")
+    stores.write_results(spark.createDataFrame([("1", "a"), ("2", "b")], "uid string, value string"), path)
+    one = stores.read_result(spark, path, "2")
+    assert [r.value for r in one.collect()] == ["b"]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(uid,2)" in plan
+
+
 def test_files_one_per_row(spark, tmp_path):
     df = spark.createDataFrame([("1.json", '{"a": "é"}'), ("2.json", "x"), ("3.txt", "y"),
                                 ("a b%20+é.json", "z"), ("0.json", "")],
