@@ -100,7 +100,8 @@ SEARCH_FORMS = {
         rf"(?:i{_SPACE}am|we{_SPACE}are){_SPACE}(?:happy|pleased|delighted)", "inform|notify",
         rf"(?:i{_SPACE}am|we{_SPACE}are){_BREAK}(?:happy|pleased|delighted)"
         rf"|(?:i{_BREAK}am|we{_BREAK}are)\s+(?:happy|pleased|delighted)"),
-    FORMATTING_PATTERNS[6]: r"\$\$|XXX|[^\x00-\x7F]{10}",
+    # its words are looked up like the others; this is the rest of it
+    FORMATTING_PATTERNS[6]: r"[^\x00-\x7F]{10}",
 }
 
 
@@ -138,6 +139,7 @@ NEEDED_WORDS = {
     FORMATTING_PATTERNS[3]: (("@",), ("bit", "tiny", "short")),
     FORMATTING_PATTERNS[4]: (("happy", "pleased", "delighted"), ("inform", "notify")),
     FORMATTING_PATTERNS[5]: (("dear", "valued", "beloved"), ("customer", "user", "friend")),
+    FORMATTING_PATTERNS[6]: (("$$", "xxx"),),
 }
 # Patterns that say no more than "one of these words".
 WORDS_DECIDE = {SPAM_PATTERNS[4], SPAM_PATTERNS[5], SPAM_PATTERNS[7], SPAM_PATTERNS[13],
@@ -162,9 +164,13 @@ def hit_counts(column: str, lists: dict[str, tuple[str, ...]]) -> Column:
 
     def hit(p: str) -> str:
         tests = [f"arrays_overlap(_present, {string_array(g)})" for g in NEEDED_WORDS.get(p, ())]
-        if p not in WORDS_DECIDE:
-            tests.append(f"_text RLIKE {quote(search_form(p))}")
-        return f"cast({' AND '.join(tests)} AS int)"
+        regex = f"_text RLIKE {quote(search_form(p))}"
+        if p == FORMATTING_PATTERNS[6]:
+            # either word, or ten non-ASCII characters where there are any
+            tests = [f"{tests[0]} OR (octet_length(_text) != length(_text) AND {regex})"]
+        elif p not in WORDS_DECIDE:
+            tests.append(regex)
+        return f"cast(({' AND '.join(tests)}) AS int)"
 
     counts = ", ".join(f"'{name}', {' + '.join(map(hit, group))}" for name, group in lists.items())
     present = sql_let("_low", casefold_sql("_text"),
