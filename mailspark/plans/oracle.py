@@ -304,10 +304,14 @@ def match(query: str) -> str:
 # visible text of a page, node by node
 _hidden = "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "template", "rt", "rp"))
 _tag = r"""<[a-zA-Z/!?][^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>|<[a-zA-Z/!?][^>]*>"""
-_nodes = f"string_split_regex(regexp_replace(html, {q(f'(?is)<!--.*?-->|{_hidden}')}, '<r>', 'g'), {q(_tag)})"
+# a reference cut off by the end of the page stays as it is
+_whole = "regexp_replace(html, '&([a-zA-Z][a-zA-Z0-9.-]*)$', '&amp;" + chr(92) + "1')"
+_nodes = f"string_split_regex(regexp_replace({_whole}, {q(f'(?is)<!--.*?-->|{_hidden}')}, '<r>', 'g'), {q(_tag)})"
 _entity = "n"
 for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\xa0"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
-    _entity = f"replace({_entity}, '&{_name};', {q(_char)})"
+    # the semicolon may be missing before a tag or another character
+    _entity = (f"regexp_replace({_entity}, '&{_name}(?:;|([^a-zA-Z0-9;.-])|$)', "
+               + q(_char + chr(92) + "1") + ", 'g')")
 HTML_TEXT = (f"array_to_string(list_filter(list_transform({_nodes}, lambda n: {trim(_entity)}), "
              f"lambda n: n <> ''), chr(10))")
 

@@ -1,5 +1,6 @@
 import random
 import re
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,7 @@ HTML = {
     "&unknown; x": "&unknown x",
     '<a title="a>b">link</a>': "link",
     "2 < 3 and 4 > 1": "2 < 3 and 4 > 1",
+    "a&amp<b>c</b>&amp, d": "a&\nc\n&, d",
     "cut &am": "cut &am",
     "cut &amp": "cut &amp",
     "<!DOCTYPE html><html></html>": "",
@@ -113,3 +115,56 @@ def test_defaults_and_fold(rows):
         True, True, True, True, True, False]
     assert rows([None, "АбВ"], T.fold(V)) == ["", "абв"]
     assert rows(["я", "😀"], T.octets(V)) == [2, 4]
+
+
+class TextNodes(HTMLParser):
+    """Text nodes of a page, told by the standard parser."""
+
+    hidden = ("script", "style", "template", "rt", "rp")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.nodes, self.current, self.open = [], "", []
+
+    def end_node(self, *_):
+        if not self.open and self.current.strip():
+            self.nodes.append(self.current.strip())
+        self.current = ""
+
+    handle_comment = handle_decl = handle_pi = end_node
+
+    def handle_starttag(self, tag, attrs):
+        self.end_node()
+        if tag in self.hidden:
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        self.end_node()
+        if self.open and self.open[-1] == tag:
+            self.open.pop()
+
+    def handle_data(self, data):
+        self.current += data
+
+    def handle_entityref(self, name):
+        self.current += T.ENTITIES.get(name, "&" + name)
+
+    def handle_charref(self, name):
+        code = int(name[1:], 16) if name[0] in "xX" else int(name)
+        self.current += T._CP1252[code - 128] if 128 <= code < 160 else chr(code)
+
+
+def test_pages_against_the_standard_parser(rows):
+    pieces = ["<p>", "</p>", "<div class='a>b'>", "<br/>", "word ", " two&amp;three", "&eacute", "&#233;",
+              "&#x416;", "&nbsp;", "<!-- c <b> -->", "<script>if (a<b) x('</p>');</script>", "\n", "<b>", "</b>",
+              "<style>p{}</style>", "1 < 2 ", "&unknown;", "<template>t<i>u</i></template>", "é", "<!DOCTYPE html>"]
+    rng = random.Random(8)
+    pages = ["".join(rng.choice(pieces) for _ in range(rng.randrange(30))) + "<hr>" for _ in range(300)]
+    want = []
+    for page in pages:
+        parser = TextNodes()
+        parser.feed(page)
+        parser.close()
+        parser.end_node()
+        want.append("\n".join(parser.nodes))
+    assert rows(pages, T.html_to_text(V)) == want
