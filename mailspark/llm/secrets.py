@@ -1,0 +1,137 @@
+"""Secret scans through a trigram inverted index.
+
+Each rule's regex has a Boolean trigram query, derived from the literal
+strings that any match must contain: an OR of alternatives, each an AND of
+trigrams. Postings (trigram, document) hold the trigrams some query names;
+intersecting them gives each rule's candidates, and only those are verified
+by the regex. A rule without a mandatory literal of three characters scans
+every text. Column expressions and joins only: no Python.
+
+Defined results: null or empty texts have no spans; texts are read whole;
+repeated rows give repeated results; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions.sqltext import let, quote, string_array
+from .spans import digest_text, sorted_spans, span_sql
+
+
+@dataclass(frozen=True)
+class Rule:
+    """``literals``: strings of which any match holds one (in any case, where
+    ``fold``); none means that the rule has no mandatory literal."""
+
+    kind: str
+    pattern: str
+    literals: tuple[str, ...] = ()
+    valid: str = "true"
+    fold: bool = True
+
+
+# The shipped rules, base ones first.
+RULES = (
+    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?+ *+[:=] *+["']?+[A-Za-z0-9+/_.=-]++""",
+         ("password", "passwd", "secret", "token", "apikey", "api_key"),
+         r"""length(regexp_extract(m, '^[A-Za-z_]+["\']?+ *+[:=] *+["\']?+(.*)$', 1)) >= 12"""),
+    Rule("access", r"AKIA[A-Z0-9]++", ("AKIA",), "length(m) >= 18", fold=False),
+    Rule("hex", r"[0-9a-f]{16,}+"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}+", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), fold=False),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}+", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"), fold=False),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", ("eyJ",), fold=False),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", ("PRIVATE KEY-----",), fold=False),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}", ("AIza",), fold=False),
+)
+BASE = ("assign", "access", "hex")
+
+
+def trigrams(literal: str) -> tuple[str, ...]:
+    """The trigrams that a text with ``literal`` must hold, in lower case."""
+    low = literal.lower()
+    return tuple(dict.fromkeys(low[i:i + 3] for i in range(len(low) - 2)))
+
+
+def trigram_query(rule: Rule) -> tuple[tuple[str, ...], ...]:
+    """OR of ANDs of trigrams; empty where the rule must scan fully."""
+    sets = tuple(trigrams(x) for x in rule.literals)
+    return sets if sets and all(sets) else ()
+
+
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
+             text: str = "text") -> DataFrame:
+    """``gram, key``: documents that hold each trigram that some query names.
+
+    Postings are narrow and written by the scan's own tasks; the query's
+    trigrams bound their number per document, whatever its length.
+    """
+    grams = sorted({g for r in rules for alt in trigram_query(r) for g in alt})
+    lowered = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    found = F.expr(f"filter({string_array(grams)}, g -> contains(t, g))")
+    return lowered.select("key", F.explode(found).alias("gram"))
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``key, rules``: per document, the rules whose query its postings meet.
+
+    The postings are intersected per document: a partial aggregate collects
+    the few query trigrams of each document, then every Boolean query is
+    evaluated on that set.
+    """
+    held = index.groupBy("key").agg(F.collect_set("gram").alias("g"))
+    tests = []
+    for rule in rules:
+        alternatives = trigram_query(rule)
+        if alternatives:
+            meets = " OR ".join(f"size(array_except({string_array(a)}, g)) = 0" for a in alternatives)
+            tests.append(f"CASE WHEN {meets} THEN '{rule.kind}' END")
+    return (held.select("key", F.expr(f"array_compact(array({', '.join(tests)}))").alias("rules"))
+            .filter(F.size("rules") > 0))
+
+
+def _spans(rules: tuple[Rule, ...]) -> str:
+    parts = []
+    for rank, rule in enumerate(rules):
+        guard = f"array_contains(_r, '{rule.kind}')" if trigram_query(rule) else "true"
+        score = "0.9D" if rule.kind in BASE[:2] else ("0.5D" if not rule.literals else "0.95D")
+        parts.append(span_sql("_t", rule.kind, rank, rule.pattern, rule.valid, score, guard))
+    return sorted_spans(parts)
+
+
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
+                 text: str = "text") -> DataFrame:
+    """``key, spans`` for every row of ``docs`` (spans in code points).
+
+    Rows are matched to their candidates by a plain equality join on the key;
+    the key should be unique, else repeated rows share their candidates.
+    """
+    verdicts = candidates(postings(docs, rules, key, text), rules)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
+    verdicts = verdicts.withColumnRenamed("key", "v_key")
+    joined = rows.join(verdicts, rows["key"].eqNullSafe(verdicts["v_key"]), "left")
+    spans = let("_r", f"coalesce(rules, cast(array() AS array<string>))",
+                let("_t", "coalesce(t, '')", _spans(rules)))
+    return joined.select("key", F.expr(spans).alias("spans"))
+
+
+def mask_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, text`` with every secret replaced by ``[KIND]``."""
+    from .spans import redact_sql
+
+    found = find_secrets(docs, key=key, text=text)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t"))
+    masked = F.expr(let("_t", "t", f"CASE WHEN _t IS NOT NULL THEN {redact_sql('_t', 'spans')} END"))
+    return rows.join(found, "key").select(F.col("key").alias(key), masked.alias(text))
+
+
+def secrets_digest(docs: DataFrame) -> DataFrame:
+    """The contract's columns for ``doc_id, text``."""
+    base = digest_text("filter(spans, s -> s.rank < 3)")
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}")
+              for k in BASE]
+    found = find_secrets(docs)
+    return found.select(F.col("key").alias("doc_id"), *counts, F.expr(f"sha2({base}, 256)").alias("base_sha256"),
+                        F.expr(digest_text("spans")).alias("spans"))
