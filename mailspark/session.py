@@ -31,15 +31,17 @@ def build_session(app_name: str = "mailspark", master: str | None = None,
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder path every executor can reach.
 
-    Uses the cluster's ``spark.checkpoint.dir``. Only where that is unset
-    (tests, single machine) a temporary folder is chosen and remembered.
+    Uses the cluster's ``spark.checkpoint.dir``, or the checkpoint folder that
+    the application has set. Only a local session (tests, one machine) may
+    have neither; it gets a temporary folder. A cluster without one is an
+    error: its executors would each write to their own disk.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="mailspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mailspark-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

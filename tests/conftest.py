@@ -16,7 +16,7 @@ SESSION.sparkContext.setLogLevel("ERROR")
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     if not SESSION.conf.get("spark.checkpoint.dir", None):
-        SESSION.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        SESSION.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     return SESSION
 
 
