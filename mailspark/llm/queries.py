@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, secrets
+from . import bpe, decontaminate, jaccard, pii, secrets
 from .spans import duck_digest, duck_spans
 
 
@@ -12,6 +12,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -25,6 +33,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op3_jaccard": op3_jaccard,
     "op5_pii": op5_pii,
     "op6_decontaminate": op6_decontaminate,
     "op10_secrets": op10_secrets,
