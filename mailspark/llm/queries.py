@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, pii, secrets
+from . import bpe, decontaminate, jaccard, pii, secrets, substrings
 from .spans import duck_digest, duck_spans
 
 
@@ -20,6 +20,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -35,6 +39,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_jaccard": op3_jaccard,
+    "op4_substrings": op4_substrings,
     "op5_pii": op5_pii,
     "op6_decontaminate": op6_decontaminate,
     "op10_secrets": op10_secrets,
