@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, pii, secrets, substrings
+from . import bpe, decontaminate, hnsw, jaccard, pii, secret_scan, substrings
 from .spans import duck_digest, duck_spans
 
 
@@ -32,8 +32,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest_digest(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secrets_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return secret_scan.secrets_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {
@@ -42,6 +46,7 @@ QUERIES = {
     "op4_substrings": op4_substrings,
     "op5_pii": op5_pii,
     "op6_decontaminate": op6_decontaminate,
+    "op7_hnsw": op7_hnsw,
     "op10_secrets": op10_secrets,
 }
 
@@ -69,7 +74,7 @@ _DUCK_RULES = {
                r"""length(regexp_extract(m, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?(.*)$', 1)) >= 12"""),
     "access": (r"AKIA[A-Z0-9]+", "length(m) >= 18"),
     "hex": (r"[0-9a-f]+", "length(m) >= 16"),
-    **{r.kind: (r.pattern.replace("}+", "}"), "true") for r in secrets.RULES[3:]},
+    **{r.kind: (r.pattern.replace("}+", "}"), "true") for r in secret_scan.RULES[3:]},
 }
 
 
@@ -107,5 +112,5 @@ ORACLE_SQL = {
                            for n, k in enumerate(pii.KINDS)], _counts(pii.KINDS[:4]), 4),
     "op6_decontaminate": CONTAMINATION_SQL,
     "op10_secrets": _spans_sql([duck_spans(k, n, *_DUCK_RULES[k]) for n, k in enumerate(_DUCK_RULES)],
-                               _counts(secrets.BASE), 3),
+                               _counts(secret_scan.BASE), 3),
 }
