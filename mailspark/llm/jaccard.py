@@ -6,8 +6,9 @@ documents last), so each such n-gram opens a tile, cut into bands of size in
 which only sets of compatible size meet. In a tile, hashed bitmap signatures
 bound the overlap from above (an n-gram whose bit the other lacks is missing
 there); what passes is intersected exactly. One star per tile is tried first,
-so that a large group of near copies is joined by as many tests as it has
-members; afterwards only pairs from different components are tried. No limit
+then each member of a tile with the likeliest partner in another component, so
+that a large group of near copies is joined by about as many tests as it has
+members; afterwards all pairs of different components are tried. No limit
 applies to tiles, partners or candidates: large tiles are cut into blocks.
 
 N-grams are compared by 64-bit hashes of their words.
@@ -120,8 +121,9 @@ def summaries(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, n int, digest binary, prefix array<bigint>, bitmap binary")
 
 
-def _compare(num: int, den: int):
-    """Pairs of a cell whose signatures leave room for the overlap needed."""
+def _compare(num: int, den: int, best: bool):
+    """Pairs of a cell whose signatures leave room for the overlap needed; with
+    ``best``, of each member's pairs only the one with the most room."""
     def fold(rows: list[np.ndarray], width: int) -> np.ndarray:
         out = np.empty((len(rows), max(1, (1 << width) // 64)), np.uint64)
         for k, r in enumerate(rows):
@@ -152,8 +154,11 @@ def _compare(num: int, den: int):
             lost = np.bitwise_count(mine & ~other).sum(1)
             gone = np.bitwise_count(other & ~mine).sum(1)
             most = np.minimum(n[i] - lost.astype(np.int64), n[j] - gone.astype(np.int64))
-            j = j[most * (num + den) >= num * (n[i] + n[j])]
-            yield ids[i], ids[j]
+            room = most * (num + den) - num * (n[i] + n[j])
+            if best:
+                k = int(np.argmax(room))
+                j, room = j[k:k + 1], room[k:k + 1]
+            yield ids[i], ids[j[room >= 0]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -255,28 +260,9 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> Dat
                  .mapInArrow(intersect, "a bigint, b bigint").distinct(), "links")
 
 
-def link_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, key: str = "doc_id",
-                   text: str = "text") -> DataFrame:
-    """``id, n_shingles, component_id`` of every row: two documents link when
-    ``den * intersection >= num * union`` of their sets of word ``n``-grams."""
-    docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    known = stage(summaries(docs, n, num, den), "summaries")
-    classes = stage(known.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("id"))
-    first = known.join(small(reps), "id", "left_semi")
-    spread = first.select(F.explode("prefix").alias("token"), "id", "n").distinct()
-    tokens = (spread.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("p"))
-              .filter("m > 1").select("token", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")))
-    rows = stage(spread.join(tokens, "token"), "tiles")
-
-    # one star per tile: a document tries the pivot it shares most tiles with
-    fits = f"{den} * least(n, pivot_n) >= {num} * greatest(n, pivot_n)"
-    stars = (rows.filter(f"id <> pivot AND {fits}").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("k"))
-             .groupBy("id").agg(F.max_by("pivot", F.struct("k", -F.col("pivot"))).alias("b"))
-             .select(F.col("id").alias("a"), "b"))
-    links = verify(docs, stars, n, num, den)
-    merged = stage(components(links), "merged")
-
+def _cell_pairs(rows: DataFrame, merged: DataFrame, known: DataFrame, num: int, den: int, best: bool) -> DataFrame:
+    """Pairs ``a, b`` of tile rows (``token, id, n``) that are in different
+    components so far and whose signatures leave room for the overlap."""
     # bands of size: a set meets its own band and, as a guest, the next one up
     band = F.floor(F.log("n") / F.log(F.lit(den / num)) + 1e-9).cast("int")
     banded = (rows.select("token", "id", "n").join(merged, "id", "left")
@@ -297,9 +283,33 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, key
                      "id", "n", "comp", "home"))
     cells = cells.join(known.select("id", "bitmap"), "id").select(
         "token", "band", "i", "j", "block", "id", "n", "comp", "home", "bitmap")
-    pairs = (cells.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j")
-             .mapInArrow(_compare(num, den), "a bigint, b bigint").distinct())
-    links = links.unionByName(verify(docs, pairs, n, num, den))
+    return (cells.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j")
+            .mapInArrow(_compare(num, den, best), "a bigint, b bigint").distinct())
+
+
+def link_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, key: str = "doc_id",
+                   text: str = "text") -> DataFrame:
+    """``id, n_shingles, component_id`` of every row: two documents link when
+    ``den * intersection >= num * union`` of their sets of word ``n``-grams."""
+    docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    known = stage(summaries(docs, n, num, den), "summaries")
+    classes = stage(known.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    reps = classes.select(F.col("rep").alias("id"))
+    sized = known.select("id", "n", "prefix").join(small(reps), "id", "left_semi")
+    spread = sized.select(F.explode("prefix").alias("token"), "id", "n")
+    tokens = spread.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).filter("m > 1")
+    rows = stage(spread.join(tokens.select("token", "pivot"), "token"), "tiles")
+
+    # one star per tile: a document tries the pivot it shares most tiles with
+    sizes = known.select(F.col("id").alias("pivot"), F.col("n").alias("pivot_n")).distinct()
+    shared = (rows.filter("id <> pivot").groupBy("id", "n", "pivot").agg(F.count(F.lit(1)).alias("k"))
+              .join(sizes, "pivot").filter(f"{den} * least(n, pivot_n) >= {num} * greatest(n, pivot_n)"))
+    stars = (shared.groupBy("id").agg(F.max_by("pivot", F.struct("k", -F.col("pivot"))).alias("b"))
+             .select(F.col("id").alias("a"), "b"))
+    links = verify(docs, stars, n, num, den)
+    for best in (True, False):
+        merged = stage(components(links), "merged")
+        links = links.unionByName(verify(docs, _cell_pairs(rows, merged, known, num, den, best), n, num, den))
     found = stage(components(links), "components")
 
     placed = stage(classes.join(found, classes["rep"] == found["id"], "left")
