@@ -32,7 +32,7 @@ from .wordhash import WordHasher, grams
 
 WINDOW = 50
 PREFIX = 8
-GROUP_SUFFIXES = 4096   # documents of one prefix beyond which it is lengthened
+GROUP_SUFFIXES = 2048   # runs of windows with one prefix beyond which it is lengthened
 TREE_WORDS = 1_000_000  # words of the groups that one tree is built of
 
 
@@ -76,7 +76,8 @@ def _scan(size: int):
                 digests.append(hashlib.blake2b(b" ".join(data.split()), digest_size=16).digest())
                 if len(h) >= size:
                     g, at = _prefixes(h, size)
-                    keys.append(np.unique(g[at]).view(np.int64))
+                    # one for each run of windows that share it
+                    keys.append(g[at[np.concatenate(([True], at[1:] != at[:-1]))]].view(np.int64))
                 else:
                     keys.append(np.empty(0, np.int64))
             yield pa.RecordBatch.from_pydict({
@@ -211,10 +212,10 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     copies = (known.select("id", "digest").join(classes, "digest").filter("id > first").select("id").distinct()
               .withColumn("whole", F.lit(True)))
     leaders = classes.select(F.col("first").alias("id")).filter("id IS NOT NULL")
-    keyed = known.join(small(leaders), "id", "left_semi").select("id", F.explode("keys").alias("key")).distinct()
-    counts = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-                   .select("key", (F.col("m") > GROUP_SUFFIXES).alias("deep")), "keys")
-    live = stage(keyed.join(counts, "key").groupBy("id").agg(F.collect_list(F.struct("key", "deep")).alias("live")),
+    keyed = known.join(small(leaders), "id", "left_semi").select("id", F.explode("keys").alias("key"))
+    counts = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("x"), F.max("id").alias("y"))
+                   .filter("x < y").select("key", (F.col("m") > GROUP_SUFFIXES).alias("deep")), "keys")
+    live = stage(keyed.join(counts, "key").groupBy("id").agg(F.collect_set(F.struct("key", "deep")).alias("live")),
                  "live")
     n_live = live.agg(F.coalesce(F.sum(F.size("live")), F.lit(0))).first()[0]
     suffixes = stage(docs.join(small(live, n_live), "id").select("id", "text", "live")
