@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, hnsw, jaccard, pii, secret_scan, substrings
+from . import bpe, decontaminate, hnsw, jaccard, langid, pii, secret_scan, substrings, toxicity
 from .spans import duck_digest, duck_spans
 
 
@@ -36,6 +36,14 @@ def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest_digest(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -47,6 +55,8 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_decontaminate": op6_decontaminate,
     "op7_hnsw": op7_hnsw,
+    "op8_language": op8_language,
+    "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
 }
 

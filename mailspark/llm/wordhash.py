@@ -24,13 +24,16 @@ class WordHasher:
     """Hashes words; with ``lower``, A-Z count as a-z. Make one per task: it
     holds tables of powers for texts of PIECE bytes."""
 
-    def __init__(self, lower: bool):
+    def __init__(self, lower: bool, alphanumeric: bool = False):
         self.value = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
         if lower:
             self.value[65:91] = self.value[97:123]
         self.space = np.zeros(256, bool)
+        if alphanumeric:    # words end at any ASCII character that is no letter or digit
+            self.space[[i for i in range(128) if not chr(i).isalnum()]] = True
         self.space[[32, 9, 10, 11, 12, 13]] = True
         self.size = 0
+        self.stems: tuple[int, ...] = ()
 
     def _powers(self, size: int) -> None:
         if size <= self.size:
@@ -54,7 +57,12 @@ class WordHasher:
         total = np.concatenate((np.zeros(1, np.uint64),
                                 np.cumsum(self.value[raw] * self.power[:len(raw)], dtype=np.uint64)))
         h = (total[ends] - total[starts]) * self.inverse[starts]
-        return mix(h + (ends - starts).astype(np.uint64)), starts, ends
+        h = mix(h + (ends - starts).astype(np.uint64))
+        if self.stems:      # one row of hashes per stem length; a word no longer than that counts itself
+            h = np.stack([h] + [np.where(ends - starts > k, mix(
+                (total[np.minimum(starts + k, ends)] - total[starts]) * self.inverse[starts]
+                + np.uint64((k + 1) << 40)), h) for k in self.stems], axis=1)
+        return h, starts, ends
 
     def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, start and end (byte offsets) of each word of a text."""
