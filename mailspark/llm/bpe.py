@@ -188,20 +188,23 @@ def _tokenizer(ranks_path: str | None, pattern: str | None) -> tuple[str, str]:
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: str | None = None,
-           pattern: str | None = None) -> DataFrame:
-    """``key, n_tokens, ids, ids_sha256, decoded_sha256`` of every row.
+           pattern: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key, n_tokens, ids, ids_sha256, decoded_sha256`` of every row, and the
+    columns named in ``carry`` as they are.
 
     ``ids`` are the token ids; the digests are of the decimal ids joined by
     one space, and of the bytes that the ids decode to.
     """
-    return _run(docs, key, text, ranks_path, pattern, True)
+    return _run(docs, key, text, ranks_path, pattern, True, carry)
 
 
-def _run(docs, key, text, ranks_path, pattern, with_ids: bool) -> DataFrame:
+def _run(docs, key, text, ranks_path, pattern, with_ids: bool, carry: tuple[str, ...] = ()) -> DataFrame:
     path, pattern = _tokenizer(ranks_path, pattern)
     shipped = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"),
+                       *[F.col(c).alias(f"carry{i}") for i, c in enumerate(carry)])
+    kept = [c for c in rows.columns if c != "text"]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
@@ -215,15 +218,15 @@ def _run(docs, key, text, ranks_path, pattern, with_ids: bool) -> DataFrame:
                 byte_sums.append(hashlib.sha256(b"".join(pieces)).hexdigest())
                 if with_ids:
                     ids.append([int(x) for x in line.split()])
-            columns = {"key": part.column("key"), "n_tokens": pa.array(n, pa.int64()),
+            columns = {**{c: part.column(c) for c in kept}, "n_tokens": pa.array(n, pa.int64()),
                        "ids_sha256": pa.array(id_sums, pa.string()), "decoded_sha256": pa.array(byte_sums, pa.string())}
             if with_ids:
                 columns["ids"] = pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(columns)
 
-    schema = f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return (rows.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
-            .withColumnRenamed("key", key))
+    schema = f"{kinds}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    coded = rows.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
+    return coded.withColumnsRenamed({"key": key, **{f"carry{i}": c for i, c in enumerate(carry)}})
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", ranks_path: str | None = None) -> DataFrame:
