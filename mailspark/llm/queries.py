@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, hnsw, jaccard, langid, pii, secret_scan, substrings, toxicity
+from . import bpe, decontaminate, hnsw, html_crf, jaccard, langid, pii, secret_scan, substrings, toxicity
 from .spans import duck_digest, duck_spans
 
 
@@ -12,6 +12,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract_digest(_table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,6 +53,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_extract": op1_extract,
     "op2_bpe": op2_bpe,
     "op3_jaccard": op3_jaccard,
     "op4_substrings": op4_substrings,
