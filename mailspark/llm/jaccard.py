@@ -78,8 +78,8 @@ def common_grams(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _width(n: np.ndarray | int):
-    """Log2 of a signature's bits: at least twice the set's size, by size band."""
-    return np.clip(np.ceil(np.log2(np.maximum(n, 1))).astype(int) + 1, 6, 15)
+    """Log2 of a signature's bits: at least four times the set's size, by size band."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1))).astype(int) + 2, 6, 16)
 
 
 def _bitmap(s: np.ndarray) -> bytes:
@@ -263,20 +263,20 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> Dat
 def _cell_pairs(rows: DataFrame, merged: DataFrame, known: DataFrame, num: int, den: int, best: bool) -> DataFrame:
     """Pairs ``a, b`` of tile rows (``token, id, n``) that are in different
     components so far and whose signatures leave room for the overlap."""
+    placed = rows.select("token", "id", "n").join(small(merged), "id", "left").select(
+        "token", "id", "n", F.coalesce("component", "id").alias("comp"))
+    tiles = (placed.groupBy("token").agg(
+        F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"),
+        F.bit_xor(F.xxhash64("id")).alias("who"))
+        .filter("x < y")
+        # tiles of the same members are tried once
+        .groupBy("m", "who").agg(F.min("token").alias("token"))
+        .select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     # bands of size: a set meets its own band and, as a guest, the next one up
     band = F.floor(F.log("n") / F.log(F.lit(den / num)) + 1e-9).cast("int")
-    banded = (rows.select("token", "id", "n").join(merged, "id", "left")
-              .select("token", "id", "n", F.coalesce("component", "id").alias("comp"), band.alias("own"))
-              .select("*", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
-              .withColumn("home", F.col("own") == F.col("band")))
-    tiles = (banded.groupBy("token", "band").agg(
-        F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("home").alias("h"),
-        F.sum(F.xxhash64("id", "home").cast("decimal(38,0)")).alias("who"))
-        .filter("m > 1 AND x < y AND h")
-        # tiles of the same members are tried once
-        .groupBy("band", "m", "who").agg(F.min("token").alias("token"))
-        .select("token", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    cells = (banded.join(stage(tiles, "bands"), ["token", "band"])
+    cells = (placed.join(small(stage(tiles, "tried")), "token").withColumn("own", band)
+             .select("*", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
+             .withColumn("home", F.col("own") == F.col("band"))
              .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
              .select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("o"))
              .select("token", "band", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block",
