@@ -18,6 +18,11 @@ CONTACT_FIELDS = ("full_name", "emails", "phones", "company", "position", "produ
 CONTACT_TYPE = ("struct<full_name:string,emails:array<string>,phones:array<string>,"
                 "company:string,position:string,product:string>")
 
+# The same matches, entering each run of local-part characters once: at its
+# start or where the match before ended, then at its first word boundary.
+_LOCAL = "[A-Z0-9._%+-]"
+_EMAIL_SEARCH = (rf"(?:\G|(?<!{_LOCAL}))(?:(?!\b){_LOCAL})*+(\b{_LOCAL}++@[A-Z0-9.-]+\.[A-Z]{{2,}}\b)")
+
 _MIN_PHONE_DIGITS = 10
 _MAX_PRODUCT_LINE = 200
 _MAX_PRODUCT = 120
@@ -49,7 +54,7 @@ def dedupe_by(arr: Column, key) -> Column:
 
 def extract_emails(c: Column) -> Column:
     """All e-mail addresses, first spelling per lower-cased address."""
-    found = F.regexp_extract_all(c, F.lit(java_regex(EMAIL_PATTERN)), F.lit(0))
+    found = F.regexp_extract_all(c, F.lit(java_regex(_EMAIL_SEARCH)), F.lit(1))
     # the pattern needs an @: most texts skip the regex
     return F.when(F.contains(c, F.lit("@")), dedupe_by(found, F.lower)) \
             .otherwise(empty_strings())

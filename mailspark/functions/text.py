@@ -188,8 +188,9 @@ def match_start_any(c: Column, patterns: Iterable[str]) -> Column:
 
 # Elements whose text is not part of the visible text.
 _HIDDEN = ("script", "style", "template", "rt", "rp")
-_TAG = (r"""<[a-zA-Z/!?][^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>"""
-        r"""|<[a-zA-Z/!?][^>]*>""")
+# possessive repeats: the engine loops instead of recursing, whatever a tag holds
+_TAG = (r"""<[a-zA-Z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+        r"""|<[a-zA-Z/!?][^>]*+>""")
 # Code points 128..159 as a browser reads them.
 _CP1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 
@@ -209,8 +210,8 @@ ENTITIES = _entity_table()
 
 def _decode_piece(piece: Column, table: Column) -> Column:
     """Decode one text piece that starts with ``&`` (others pass unchanged)."""
-    num = r"\A&#([0-9]{1,7});?"
-    hexa = r"\A&#[xX]([0-9a-fA-F]{1,6});?"
+    num = r"\A&#0*+([1-9][0-9]{0,6}|(?<=0));?"
+    hexa = r"\A&#[xX]0*+([1-9a-fA-F][0-9a-fA-F]{0,5}|(?<=0));?"
     named = r"\A&([a-zA-Z][a-zA-Z0-9.-]*);?"
     too_long = r"\A&#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
 
@@ -225,10 +226,10 @@ def _decode_piece(piece: Column, table: Column) -> Column:
     return (
         F.when(~piece.startswith("&"), piece)
         .when(piece.rlike(num + r"(?![0-9])"),
-              F.concat(point(F.regexp_extract(piece, num, 1).cast("bigint")),
+              F.concat(point(F.concat(F.lit("0"), F.regexp_extract(piece, num, 1)).cast("bigint")),
                        F.regexp_replace(piece, num, "")))
         .when(piece.rlike(hexa + r"(?![0-9a-fA-F])"),
-              F.concat(point(F.conv(F.regexp_extract(piece, hexa, 1), 16, 10).cast("bigint")),
+              F.concat(point(F.conv(F.concat(F.lit("0"), F.regexp_extract(piece, hexa, 1)), 16, 10).cast("bigint")),
                        F.regexp_replace(piece, hexa, "")))
         .when(piece.rlike(too_long),
               F.concat(F.lit("�"), F.regexp_replace(piece, too_long, "")))
@@ -256,7 +257,11 @@ def html_to_text(c: Column) -> Column:
     # comments and hidden elements end the text node around them
     hidden = "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in _HIDDEN)
     text = F.regexp_replace(text, rf"(?is)<!--.*?-->|{hidden}", "<r>")
-    nodes = F.split(text, _TAG, -1)
+    # no tag ends after the last >: that rest is text, and is not searched for tags
+    nodes = let(F.length(text) - F.coalesce(F.nullif(F.instr(F.reverse(text), ">"), F.lit(0)), F.length(text) + 1) + 1,
+                lambda end: let(F.split(F.substring(text, F.lit(1), end), _TAG, -1), lambda n: F.concat(
+                    F.slice(n, F.lit(1), F.size(n) - 1),
+                    F.array(F.concat(F.element_at(n, -1), F.substring(text, end + 1, F.length(text)))))))
     nodes = F.transform(nodes, lambda n: utrim(decode_entities(n)))
     return F.array_join(F.filter(nodes, lambda n: n != ""), "\n")
 

@@ -10,6 +10,7 @@ from .views import is_sufficient, search
 # Group kinds in display order, with their icons.
 GROUP_ICONS = {"company": "🏢", "product": "📦", "name": "👤"}
 _SOURCE = {"company": "company", "product": "product", "name": "full_name"}
+SALTS = 32
 TYPE_RANK = {kind: i for i, kind in enumerate(GROUP_ICONS)}
 
 
@@ -49,12 +50,14 @@ def group_contacts(df: DataFrame) -> DataFrame:
 def group_members(df: DataFrame) -> DataFrame:
     """Every record with its group's name and size.
 
-    The right side has one row per group. When a group is hot, adaptive
-    skew handling splits its members over several tasks.
+    The right side has one row per group and salt; a group's members are dealt
+    over the salts, so a hot group is joined by ``SALTS`` tasks.
     """
-    members = with_group(df).drop("group_label")
-    groups = group_contacts(df).select("group_type", "group_key", "group_name", "n")
-    return members.join(groups, ["group_type", "group_key"])
+    members = with_group(df).drop("group_label").withColumn(
+        "_salt", F.pmod(F.xxhash64("filename"), F.lit(SALTS)).cast("int"))
+    groups = group_contacts(df).select("group_type", "group_key", "group_name", "n", F.explode(
+        F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return members.join(groups, ["group_type", "group_key", "_salt"]).drop("_salt")
 
 
 def group_pages(df: DataFrame, page_size: int = 1000) -> DataFrame:

@@ -15,26 +15,28 @@ SCORER_CHARS = 512
 
 def with_extractor(messages: DataFrame, extractor: Callable[[str, Mapping[str, Any]], Any],
                    config: Mapping[str, Any] | None = None, body: str = "body") -> DataFrame:
-    """Run ``extractor(text, config) -> json`` on each message: ``uid, reply``.
+    """Run ``extractor(text, config) -> json`` on each message: ``uid, reply, error``.
 
     Results that are not strings are converted. A message whose extractor
-    call fails gets a null reply; the job goes on.
+    call fails gets a null reply and the failure in ``error``; the job goes on.
     """
     settings = dict(config or {})
 
-    def call(text: str) -> str | None:
+    def call(text: str) -> tuple[str | None, str | None]:
         try:
             reply = extractor(text or "", settings)
-        except Exception:   # noqa: BLE001 - failures become null replies
-            return None
-        return reply if isinstance(reply, str) else str(reply)
+        except Exception as err:   # noqa: BLE001 - failures are reported by row
+            return None, f"{type(err).__name__}: {err}"
+        return (reply if isinstance(reply, str) else str(reply)), None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"uid": batch["uid"], "reply": [call(t) for t in batch["body"]]})
+            called = [call(t) for t in batch["body"]]
+            yield pd.DataFrame({"uid": batch["uid"], "reply": [r for r, _ in called],
+                                "error": [e for _, e in called]})
 
     return (messages.select("uid", F.col(body).alias("body"))
-            .mapInPandas(run, "uid string, reply string"))
+            .mapInPandas(run, "uid string, reply string, error string"))
 
 
 def with_scorer(messages: DataFrame, make_scorer: Callable[[], Callable[[str], float]],

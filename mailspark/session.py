@@ -55,26 +55,24 @@ def arrow_uri(spark: SparkSession, path: str) -> str:
     return uri.replace("s3a://", "s3://", 1)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` once to ``path`` and read it back.
 
     Cuts lineage for frames that feed several outputs; unlike a cache the
-    copy survives lost executors.
+    copy survives lost executors. The caller drops it with :func:`drop_path`.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fan_out(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan over all cores when it offers fewer tasks than cores.
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a staging folder of the job's own."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
-    CPU-heavy per-row work (dozens of regexes) on a small input would
-    otherwise run in one task. Large inputs already have more splits than
-    cores, so the shuffle never appears there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt over ``spark.mailspark.spread`` tasks where the caller has
+    set that (few, unsplittable input files); else as it is."""
+    tasks = df.sparkSession.conf.get("spark.mailspark.spread", None)
+    return df.repartition(int(tasks), key) if tasks else df

@@ -71,11 +71,13 @@ def upsert(df: DataFrame, path: str, batch: str | None = None) -> None:
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
     """The latest row per uid. ``max_by`` combines before the shuffle, so a
-    uid rewritten very often still sends one row per task."""
+    uid rewritten very often still sends one row per task. Rows of one batch
+    are told apart by their contents."""
     stored = spark.read.option("basePath", path).parquet(path)
     fields = [c for c in stored.columns if c not in ("uid", "_seq", "batch")]
     latest = stored.groupBy("uid").agg(
-        F.max_by(F.struct(*fields), F.struct("_seq", F.col("batch").cast("string"))).alias("r"))
+        F.max_by(F.struct(*fields), F.struct("_seq", F.col("batch").cast("string"),
+                                             *[F.to_json(F.struct(f)) for f in fields])).alias("r"))
     return latest.select("uid", *[F.col(f"r.{f}").alias(f) for f in fields])
 
 
@@ -129,38 +131,52 @@ def archive_rows(judged: DataFrame) -> DataFrame:
 
 
 
-def read_ledger(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+def read_ledger(spark: SparkSession, path: str, layout: str = "auto",
+                except_batch: str | None = None) -> DataFrame:
     """Handled uids, one row each.
 
     ``lines``: text files with one uid per line, read in splits of any size.
-    ``auto``: files that hold either lines or one JSON list; each file is read
-    whole, so this is for single files kept by other tools. A missing or
-    unreadable ledger is empty.
+    ``auto`` also takes files that are one JSON list on their lines; no file
+    is read whole. Folders named after a batch belong to that batch;
+    ``except_batch`` leaves one out. A missing ledger is empty.
     """
     if layout not in ("lines", "auto"):
         raise ValueError(f"unknown ledger layout {layout!r}")
     try:
-        stored = spark.read.option("wholetext", layout == "auto").text(path)
+        stored = spark.read.option("recursiveFileLookup", True).text(path)
     except Exception as err:   # noqa: BLE001 - only "no such path" is handled
         if "PATH_NOT_FOUND" not in str(err):
             raise
         return spark.createDataFrame([], "uid string")
+    if except_batch is not None:
+        stored = stored.filter(~F.contains(F.col("_metadata.file_path"), F.lit(f"/batch={except_batch}/")))
     parts = F.split("value", LINE_BREAKS, -1)
     if layout == "auto":
-        listed = F.when(F.startswith(utrim(F.col("value")), F.lit("[")),
-                        F.try_parse_json(utrim(F.col("value"))).cast("array<string>"))
-        parts = F.coalesce(listed, parts)
+        # a list on one line, or a line of a list that is spread over several
+        line = utrim(F.col("value"))
+        listed = F.when(F.startswith(line, F.lit("[")) & F.endswith(line, F.lit("]")),
+                        F.try_parse_json(line).cast("array<string>"))
+        item = F.regexp_extract(line, r'\A"(.*)",?\z', 1)
+        bracket = line.isin("[", "]")
+        parts = F.coalesce(listed, F.when(bracket, F.array().cast("array<string>")),
+                           F.when(item != "", F.array(item)), parts)
     uids = stored.select(F.explode(parts).alias("uid")).select(utrim(F.col("uid")).alias("uid"))
     return uids.filter(F.col("uid") != "").distinct()
 
 
-def append_ledger(uids: DataFrame, path: str) -> None:
-    """Append uids that are neither blank nor present."""
+def append_ledger(uids: DataFrame, path: str, batch: str | None = None, new: bool = False) -> None:
+    """Add uids that are neither blank nor present, under their batch.
+
+    A batch written again replaces what it wrote. ``new`` says that the uids
+    are known to be absent from other batches, so the ledger is not read.
+    """
     spark = uids.sparkSession
+    label = batch if batch is not None else f"{time.time_ns():020d}"
     clean = (uids.select(utrim(F.col("uid").cast("string")).alias("uid"))
              .filter(F.col("uid") != "").dropDuplicates(["uid"]))
-    new = clean.join(read_ledger(spark, path), "uid", "left_anti")
-    new.write.mode("append").text(path)
+    if not new:
+        clean = clean.join(read_ledger(spark, path, except_batch=label), "uid", "left_anti")
+    clean.write.mode("overwrite").text(f"{path.rstrip('/')}/batch={label}")
 
 
 # --------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import octets
-from ..session import fan_out
+from ..session import spread
 
 # (subject, sender, lines added to the body); None keeps the document's own.
 PHRASES = (
@@ -21,13 +21,13 @@ PHRASES = (
     (None, None, ("Please verify your account today", "your account will be closed")),
     ("Re: Meeting schedule", None, ("See you tomorrow",)),
     ("Fwd: Price list", "anna@techcorp.example.com", ("Интересует: CRM система.",)),
-    ("Запрос цены", "alex.ivanov@company.example",
-     ("Нужен каталог продукции", "Мой email: alex.ivanov@company.example,",
-      "телефон: +7 (999) 123-45-67")),
+    ("Запрос цены", "petr.orlov@zavod.example",
+     ("Нужен каталог насосов", "пишите на petr.orlov@zavod.example,",
+      "связь: +7 (901) 234-56-78")),
     (None, None, ("contacts: ivan.petrov@mail.example, IVAN.PETROV@mail.example,",
-                  "+7 (999) 888-77-66, 8-800-555-1234, 8 (999) 888-77-66")),
-    ("SPECIAL OFFER!!! BUY VIAGRA NOW!!!", "sales@store.example",
-     ("CLICK HERE NOW FOR AMAZING OFFERS!!!", "cheap viagra online $$$")),
+                  "+7 (903) 456-78-90, 8-800-555-1234, 8 (903) 456-78-90")),
+    ("TODAY ONLY!!! VIAGRA AT HALF PRICE!!!", "pharmacy@outlet.example",
+     ("CLICK HERE NOW TO ORDER A BOX!!!", "viagra without prescription $$$")),
     (None, "noreply@marketing.example.com", ("Join our program",)),
     ("Security notice", None,
      ("Microsoft support: urgent security update.",
@@ -41,11 +41,11 @@ PHRASES = (
     (None, "robot7@shop.example.com", ("system error: repair now",)),
     ("Unusual activity", None,
      ("unusual sign-in, urgent action required", "system maintenance upgrade tonight")),
-    ("RE: offer", None, ("Хочу видеть дашборд для мониторинга процессов",)),
+    ("RE: offer", None, ("Хочу получить смету на монтаж склада",)),
     ("A partnership with Google", None, ("see googleXcom and google-com",)),
     (None, None, ("write to test123@mail.example or temporary@box.example",)),
-    ("Legit business inquiry", "john.smith@abc.example",
-     ("We are looking for a solution", "Tel: +7 (999) 123-45-67, john.smith@abc.example")),
+    ("Question about spare parts", "mary.jones@mill.example",
+     ("Which bearings fit the old press?", "Call +7 (902) 345-67-89 or mary.jones@mill.example")),
     ("Account", "verify@securityalert.example",
      ("you must know: your account password expired, act now!!!",
       "click to update the credentials", "unusual access, security reason",
@@ -93,7 +93,7 @@ def messages_from(docs: DataFrame) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return messages_from(fan_out(docs, "doc_id"))
+    return messages_from(spread(docs, "doc_id"))
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,7 +175,7 @@ def _object(*pairs: Column) -> Column:
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``uid, filename, reply``: one JSON reply per contact in eight shapes."""
-    c = fan_out(contacts(spark, sf_dir), "uid")
+    c = spread(contacts(spark, sf_dir), "uid")
     name, company, position, product = (
         _string(F.col(k)) for k in ("full_name", "company", "position", "product"))
     emails, phones = _json_list(F.col("emails")), _json_list(F.col("phones"))
@@ -207,7 +207,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the messages as labelled entities: ``uid, pos, label, word,
     score``."""
-    docs = fan_out(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     words = docs.select(F.col("doc_id").cast("string").alias("uid"),
                         F.posexplode(F.split("text", " ")).alias("pos", "word"))
     label = F.expr("CASE pos % 7 WHEN 0 THEN 'PER' WHEN 1 THEN 'org' WHEN 2 THEN 'Person' "

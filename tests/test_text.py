@@ -168,3 +168,28 @@ def test_pages_against_the_standard_parser(rows):
         parser.end_node()
         want.append("\n".join(parser.nodes))
     assert rows(pages, T.html_to_text(V)) == want
+
+
+def test_html_of_any_shape_is_linear(spark):
+    import time
+
+    from mailspark.functions.text import html_to_text
+    many = "<p " + "a='1' b=\"2\" " * 100_000 + ">x</p>y"
+    open_quote = "<a href=\"" * 100_000 + "z"
+    rows = spark.createDataFrame([(1, many), (2, open_quote), (3, "<b>a</b> 1 < 2 <i"), (4, "&#00000065;&#x00000041;&#0;")],
+                                 "i int, t string").withColumn("o", html_to_text(F.col("t")))
+    start = time.time()
+    got = {r.i: r.o for r in rows.select("i", "o").collect()}
+    assert time.time() - start < 60
+    assert got[1] == "x\ny" and got[2] == open_quote and got[3] == "a\n1 < 2 <i" and got[4] == "AA�"
+
+
+def test_long_dotted_run_is_linear(spark):
+    import time
+
+    from mailspark.functions.extract import extract_emails
+    rows = spark.createDataFrame([("a." * 500_000 + " x@y.com, .q@w.org жab.c@d.ru a@b.co.d@e.fr",)], "t string")
+    start = time.time()
+    got = rows.select(extract_emails(F.col("t")).alias("o")).first().o
+    assert time.time() - start < 20
+    assert got == ["x@y.com", "q@w.org", ".c@d.ru", "a@b.co", ".d@e.fr"]
