@@ -1,10 +1,11 @@
 """N-gram Jaccard join: documents whose sets of word n-grams are alike.
 
-Equal sets become one class first. Any two sets alike enough share an n-gram
-among the first few of each (in an order that puts n-grams of very many
-documents last), so each such n-gram opens a tile, cut into bands of size in
-which only sets of compatible size meet. In a tile, hashed bitmap signatures
-bound the overlap from above (an n-gram whose bit the other lacks is missing
+Equal sets become one class first. Any two sets alike enough share SHARED
+n-grams among the first few of each (in an order that puts n-grams of very many
+documents last), so each such n-gram opens a tile. Pairs that meet in small
+tiles only must do so SHARED times; large tiles are cut into bands of size in
+which only sets of compatible size meet. Hashed bitmap signatures bound the
+overlap of a pair from above (an n-gram whose bit the other lacks is missing
 there); what passes is intersected exactly. One star per tile is tried first,
 then each member of a tile with the likeliest partner in another component, so
 that a large group of near copies is joined by about as many tests as it has
@@ -34,6 +35,8 @@ from .wordhash import WordHasher, grams
 
 COMMON_DOCS = 50        # n-grams of so many documents go last in the order ...
 COMMON_LISTED = 200_000  # ... as far as this list reaches; the order alone depends on it
+SHARED = 3              # first n-grams that two sets alike have in common at least
+SMALL = 16              # members of a small tile
 BLOCK = 2048            # rows of a tile compared in one go
 STAR = 1000             # members compared with one pivot in one go
 
@@ -101,7 +104,7 @@ def summaries(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             sizes, digests, prefixes, maps = [], [], [], []
             for s in _sets(part, n, hasher):
                 need = -(-num * len(s) // den)
-                p = len(s) - need + 1 if len(s) else 0
+                p = len(s) - need + min(SHARED, need)
                 if len(known) and p:
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     hit = known[at] == s
@@ -203,6 +206,25 @@ def _compare(num: int, den: int, best: bool):
     return run
 
 
+def _bound(num: int, den: int):
+    """The pairs whose signatures leave room for the overlap needed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for r in batch.to_pylist():
+                x, y = np.frombuffer(r["map_a"], np.uint64), np.frombuffer(r["map_b"], np.uint64)
+                while len(x) > len(y):
+                    x = x[:len(x) // 2] | x[len(x) // 2:]
+                while len(y) > len(x):
+                    y = y[:len(y) // 2] | y[len(y) // 2:]
+                most = min(r["n_a"] - int(np.bitwise_count(x & ~y).sum()), r["n_b"] - int(np.bitwise_count(y & ~x).sum()))
+                if most * (num + den) >= num * (r["n_a"] + r["n_b"]):
+                    a.append(r["id_a"])
+                    b.append(r["id_b"])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run
+
+
 def verify(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (``a, b``) whose sets are alike, by intersecting sorted arrays.
 
@@ -265,16 +287,15 @@ def _cell_pairs(rows: DataFrame, merged: DataFrame, known: DataFrame, num: int,
     components so far and whose signatures leave room for the overlap."""
     placed = rows.select("token", "id", "n").join(small(merged), "id", "left").select(
         "token", "id", "n", F.coalesce("component", "id").alias("comp"))
-    tiles = (placed.groupBy("token").agg(
+    tiles = stage(placed.groupBy("token").agg(
         F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"),
-        F.bit_xor(F.xxhash64("id")).alias("who"))
-        .filter("x < y")
-        # tiles of the same members are tried once
-        .groupBy("m", "who").agg(F.min("token").alias("token"))
-        .select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+        F.bit_xor(F.xxhash64("id")).alias("who")).filter("x < y").select("token", "m", "who"), "tried")
+    # tiles of the same members are tried once
+    large = (tiles.filter(f"m > {SMALL}").groupBy("m", "who").agg(F.min("token").alias("token"))
+             .select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     # bands of size: a set meets its own band and, as a guest, the next one up
     band = F.floor(F.log("n") / F.log(F.lit(den / num)) + 1e-9).cast("int")
-    cells = (placed.join(small(stage(tiles, "tried")), "token").withColumn("own", band)
+    cells = (placed.join(small(stage(large, "large")), "token").withColumn("own", band)
              .select("*", F.explode(F.array("own", F.col("own") + 1)).alias("band"))
              .withColumn("home", F.col("own") == F.col("band"))
              .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -283,8 +304,23 @@ def _cell_pairs(rows: DataFrame, merged: DataFrame, known: DataFrame, num: int,
                      "id", "n", "comp", "home"))
     cells = cells.join(known.select("id", "bitmap"), "id").select(
         "token", "band", "i", "j", "block", "id", "n", "comp", "home", "bitmap")
-    return (cells.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j")
-            .mapInArrow(_compare(num, den, best), "a bigint, b bigint").distinct())
+    pairs = (cells.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j")
+             .mapInArrow(_compare(num, den, best), "a bigint, b bigint").distinct())
+    if not best:
+        return pairs
+    # a pair in small tiles only: at most SMALL members meet in each, so pairs grow with the rows
+    members = placed.join(tiles.filter(f"m <= {SMALL}").select("token"), "token")
+    one, two = ([F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "comp")] for x in "ab")
+    fits = f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"
+    shared = (members.select("token", *one).join(members.select("token", *two), "token")
+              .filter(f"id_a < id_b AND comp_a <> comp_b AND {fits}")
+              .groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("k"))
+              .filter(f"k >= least({SHARED}, ceil({num} * least(n_a, n_b) / {den}))"))
+    maps = known.select("id", "bitmap")
+    signed = (stage(shared, "shared").join(maps.withColumnsRenamed({"id": "id_a", "bitmap": "map_a"}), "id_a")
+              .join(maps.withColumnsRenamed({"id": "id_b", "bitmap": "map_b"}), "id_b"))
+    return pairs.unionByName(signed.select("id_a", "id_b", "n_a", "n_b", "map_a", "map_b").mapInArrow(
+        _bound(num, den), "a bigint, b bigint")).distinct()
 
 
 def link_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, key: str = "doc_id",
