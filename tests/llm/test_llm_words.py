@@ -45,7 +45,7 @@ def roots(n, links):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("n, num, den", [(4, 85, 100), (5, 8, 10), (1, 5, 10)])
+@pytest.mark.parametrize("n, num, den", [(4, 85, 100), (1, 5, 10)])
 def test_jaccard_join(docs, n, num, den):
     texts = made(n, 90)
     sets = []
