@@ -83,8 +83,8 @@ def test_extraction(spark):
 def test_extraction_of_other_layouts(spark):
     """Held-out pages, rewritten: blocks found by their labels."""
     pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").limit(90).collect()]
-    model = html_crf.fit(pages[:60])
-    held = html_crf.rewritten([html_crf.parse(p) for p in pages[60:]], seed=99)
+    model = html_crf.fit(pages[::2])
+    held = html_crf.rewritten([html_crf.parse(p) for p in pages[1::2]], seed=99)
     good = total = 0
     for x, y in held:
         blocks = [html_crf.Block("", 0, "", frozenset(), ())] * len(y)
