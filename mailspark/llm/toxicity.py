@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import stage
 from .wordhash import WordHasher
 
 FIT_ROWS = 8_000   # labelled rows that the models are fitted on, at most
@@ -108,13 +109,27 @@ def fit_chain(labelled: DataFrame, categories: list[str], limit: int = FIT_ROWS)
                 "w": pa.array(list(_word_ids(batch, hasher)), pa.list_(pa.int64())),
                 **{c: batch.column(c) for c in categories}})
 
-    rows = sample.repartition(16, "id").mapInArrow(
-        words, "w array<bigint>, " + ", ".join(f"{c} double" for c in categories)).toPandas()
+    hashed = stage(sample.repartition(16, "id").mapInArrow(
+        words, "w array<bigint>, " + ", ".join(f"{c} double" for c in categories)), "sample")
+    # words that tell something about some category are found in the cluster; only they reach the driver
+    total = hashed.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0.0)) for c in categories]).first()
+    held = hashed.select(F.explode("w").alias("g"), *categories).groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories])
+    tells = [f"pow({c} - n * {y / max(total[0], 1)!r}D, 2) >= {MIN_CHI2}D * n * {y / max(total[0], 1) * (1 - y / max(total[0], 1))!r}D"
+             for c, y in zip(categories, total[1:])]
+    told = held.filter(f"n >= {MIN_ROWS} AND ({' OR '.join(tells)})").select("g").toPandas()["g"].to_numpy(np.int64)
+    shipped = labelled.sparkSession.sparkContext.broadcast(np.sort(told))
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [np.intersect1d(np.array(w, np.int64), shipped.value) for w in batch.column("w").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"w": pa.array(kept, pa.list_(pa.int64())),
+                                              **{c: batch.column(c) for c in categories}})
+
+    rows = hashed.mapInArrow(telling, hashed.schema).toPandas()
     lists, n = rows["w"].tolist(), len(rows)
     row = np.repeat(np.arange(n), [len(x) for x in lists])
     col = np.concatenate([np.asarray(x, np.int64) for x in lists]) if n else np.empty(0, np.int64)
-    _, local, held = np.unique(col, return_inverse=True, return_counts=True)
-    row, col = (row[held[local] >= MIN_ROWS], col[held[local] >= MIN_ROWS]) if n else (row, col)
     fold, earlier, models = np.arange(n) % FOLDS, np.empty((n, 0)), []
     for c in categories:
         y = rows[c].to_numpy(float)
