@@ -9,7 +9,8 @@ before their shuffle. The text model is fitted on a bounded sample of labelled
 rows; its table has a fixed size.
 
 Defined results: null, empty and letter-free texts have no text evidence and
-are rejected (language null); texts are read whole; missing declarations,
+are rejected (language null); without any labelled text all other texts are
+accepted with language null; texts are read whole; missing declarations,
 suffixes and hosts say nothing; repeated rows give repeated results; an empty
 table gives an empty table; other columns do not enter.
 """
@@ -17,6 +18,7 @@ table gives an empty table; other columns do not enter.
 from __future__ import annotations
 
 import html
+import math
 import re
 from typing import Iterator
 
@@ -31,7 +33,8 @@ BUCKETS = 1 << 16    # hashed trigrams
 TEMPER = 0.25        # weight of a trigram: neighbouring ones overlap
 HOST_WEIGHT = 20.0   # rows that the parent's share counts for
 MIN_POSTERIOR = 0.5
-MIN_MEAN = -11.5     # mean log likelihood of a trigram; all buckets alike would have -11.1
+SHARE = 0.1          # least share of the uniform distribution in each language's: it bounds what an unseen trigram costs
+MIN_RATIO = -1.4     # mean log ratio of a trigram's likelihood to the uniform one
 PIECE = 1_000_000
 
 
@@ -58,6 +61,20 @@ class Trigrams:
                 yield ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
 
 
+def likelihoods(counts: np.ndarray) -> np.ndarray:
+    """Log likelihoods of the buckets from their counts per language.
+
+    Each language is mixed with the uniform distribution. The share is the same
+    for all, and SHARE unless the counts are so few that new trigrams must be
+    expected more often; so an unseen trigram costs the same however many rows
+    were counted.
+    """
+    total, kinds = counts.sum(), np.count_nonzero(counts.sum(0))
+    share = max(SHARE, kinds / max(total + kinds, 1))
+    own = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+    return np.log((1 - share) * own + share / BUCKETS).astype(np.float32)
+
+
 def fit_text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their log likelihoods per bucket, from ``id, text, lang``.
 
@@ -82,11 +99,11 @@ def fit_text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     counts = (rows.repartition(16).mapInArrow(count, "lang string, b bigint, c bigint").groupBy("lang", "b")
               .agg(F.sum("c").alias("c")).toPandas())
     languages = sorted(counts["lang"].unique())
-    table = np.full((len(languages), BUCKETS), 0.1)
+    table = np.zeros((len(languages), BUCKETS))
     for i, lang in enumerate(languages):
         own = counts[counts["lang"] == lang]
         table[i, own["b"].to_numpy()] += own["c"].to_numpy()
-    return languages, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
+    return languages, likelihoods(table)
 
 
 def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], markup: bool = False) -> DataFrame:
@@ -135,12 +152,14 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], markup: bool
 
     A document is rejected when it has no letters, when its trigrams are
     unlikely in every language, when no language reaches MIN_POSTERIOR, or
-    when its language is not in ``accept`` (default: all).
+    when its language is not in ``accept`` (default: all). A model without
+    languages accepts nothing; see ``judge``.
     """
     languages, k = model[0], len(model[0])
     if not k:
-        return rows.selectExpr("id", "cast(NULL AS string) AS lang", "cast(NULL AS double) AS posterior",
-                               "cast(NULL AS string) AS text_lang", "0L AS n_trigrams", "false AS accepted")
+        return text_evidence(rows, model, markup).selectExpr(
+            "id", "cast(NULL AS string) AS lang", "cast(NULL AS double) AS posterior",
+            "cast(NULL AS string) AS text_lang", "n AS n_trigrams", "false AS accepted")
     known = stage(text_evidence(rows, model, markup).withColumn(
         "tempered", F.expr(f"transform(ll, x -> x * {TEMPER}D)")), "evidence")
     # only texts with something to say shape the tables
@@ -182,10 +201,17 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], markup: bool
                         f"CASE WHEN n > 0 THEN {named}[array_position(ll, array_max(ll)) - 1] END AS text_lang",
                         "array_max(ll) / n AS mean")
             .select("id", "lang", "posterior", "text_lang", F.col("n").alias("n_trigrams"),
-                    (F.expr(f"coalesce(n > 0 AND posterior >= {MIN_POSTERIOR} AND mean >= {MIN_MEAN}D, false)")
+                    (F.expr(f"coalesce(n > 0 AND posterior >= {MIN_POSTERIOR} AND mean >= {MIN_RATIO - math.log(BUCKETS)!r}D, false)")
                      & F.coalesce(wanted, F.lit(False))).alias("accepted")))
 
 
+def judge(rows: DataFrame, model: tuple[list[str], np.ndarray], markup: bool = False) -> DataFrame:
+    """``identify``, but where no model could be fitted every text with letters
+    is accepted: nothing can be held against it."""
+    judged = identify(rows, model, markup)
+    return judged if model[0] else judged.withColumn("accepted", F.col("n_trigrams") > 0)
+
+
 def _code(declared: Column) -> Column:
     """The language part of a declared tag, if it looks like one."""
     code = F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?:[-_]|\s*$)", 1))
@@ -220,13 +246,13 @@ def language_digest(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """``doc_id, page_id, lang, posterior, text_lang, n_trigrams, accepted`` of
     every document (``page_id`` null) and every page (``doc_id`` null)."""
     model, none = model_of(docs), F.lit(None).cast("bigint")
-    a = identify(document_rows(docs), model).withColumn("page_id", none).withColumnRenamed("id", "doc_id")
-    b = identify(page_rows(pages), model, markup=True).withColumn("doc_id", none).withColumnRenamed("id", "page_id")
+    a = judge(document_rows(docs), model).withColumn("page_id", none).withColumnRenamed("id", "doc_id")
+    b = judge(page_rows(pages), model, markup=True).withColumn("doc_id", none).withColumnRenamed("id", "page_id")
     return a.unionByName(b).select("doc_id", "page_id", "lang", "posterior", "text_lang", "n_trigrams", "accepted")
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that are rejected; rows kept are unchanged."""
-    bad = (identify(document_rows(docs), model_of(docs)).filter("NOT accepted")
+    bad = (judge(document_rows(docs), model_of(docs)).filter("NOT accepted")
            .select(F.col("id").alias("_bad_id")).distinct())
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")

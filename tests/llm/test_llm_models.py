@@ -149,6 +149,29 @@ def test_languages(spark, docs):
     assert langid.identify(langid.document_rows(odd), ([], np.zeros((0, langid.BUCKETS)))).filter("accepted").count() == 0
 
 
+SENTENCES = ["The committee will meet again next Thursday to discuss the budget for the new library.",
+             "Please send your completed application form to the office before the end of June.",
+             "Le conseil municipal se réunira jeudi prochain pour examiner le budget de la bibliothèque.",
+             "Der Ausschuss trifft sich am nächsten Donnerstag, um den Haushalt zu besprechen.",
+             "El comité se reunirá el próximo jueves para hablar del presupuesto de la biblioteca."]
+NOISE = ["qwxz kjvq zzxw pqjx vkqz xjqw zvkx qpzj wxkq", "Комитет соберётся в следующий четверг"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_verdicts_do_not_depend_on_rows_fitted(spark, docs, monkeypatch):
+    held = langid.document_rows(docs(SENTENCES + NOISE).withColumn("lang", F.lit(None).cast("string")))
+    table, got = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), []
+    for size in (200, 4000):
+        monkeypatch.setattr(langid, "FIT_ROWS", size)
+        got.append({r.id: r.accepted for r in langid.identify(held, langid.model_of(table)).collect()})
+    assert got[0] == got[1] == {i: i < len(SENTENCES) for i in range(len(SENTENCES + NOISE))}
+
+
+def test_no_labelled_text_rejects_no_text(spark, docs):
+    df = docs([None, "", "123 !!", *SENTENCES]).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.doc_id for r in langid.drop_unidentified(df).collect()) == list(range(3, 3 + len(SENTENCES)))
+
+
 def test_evidence_decides_short_texts(spark):
     """A text that fits two languages takes that of its host, or the declared one."""
     model = (["aa", "bb"], np.log(np.full((2, langid.BUCKETS), 1 / langid.BUCKETS)).astype(np.float32))
