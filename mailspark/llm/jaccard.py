@@ -289,9 +289,11 @@ def _cell_pairs(rows: DataFrame, merged: DataFrame, known: DataFrame, num: int,
         "token", "id", "n", F.coalesce("component", "id").alias("comp"))
     tiles = stage(placed.groupBy("token").agg(
         F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"),
-        F.bit_xor(F.xxhash64("id")).alias("who")).filter("x < y").select("token", "m", "who"), "tried")
+        F.bit_xor(F.xxhash64("id")).alias("who"),
+        F.sum(F.xxhash64("id", F.lit(1)).bitwiseAND(0xFFFFFFFF)).alias("total"))
+        .filter("x < y").select("token", "m", "who", "total"), "tried")
     # tiles of the same members are tried once
-    large = (tiles.filter(f"m > {SMALL}").groupBy("m", "who").agg(F.min("token").alias("token"))
+    large = (tiles.filter(f"m > {SMALL}").groupBy("m", "who", "total").agg(F.min("token").alias("token"))
              .select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     # bands of size: a set meets its own band and, as a guest, the next one up
     band = F.floor(F.log("n") / F.log(F.lit(den / num)) + 1e-9).cast("int")
@@ -328,16 +330,19 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, key
     """``id, n_shingles, component_id`` of every row: two documents link when
     ``den * intersection >= num * union`` of their sets of word ``n``-grams."""
     docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    known = stage(summaries(docs, n, num, den), "summaries")
-    classes = stage(known.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("id"))
-    sized = known.select("id", "n", "prefix").join(small(reps), "id", "left_semi")
-    spread = sized.select(F.explode("prefix").alias("token"), "id", "n")
+    known = stage(summaries(docs, n, num, den).withColumn("row", F.monotonically_increasing_id()), "summaries")
+    # of repeated rows one stands for the class, or its tiles would hold it several times
+    classes = stage(known.filter("n > 0").groupBy("digest").agg(
+        F.min("id").alias("rep"), F.min_by("row", "id").alias("rep_row")), "classes")
+    reps = small(classes.select("rep", "rep_row").filter("rep IS NOT NULL"))
+    # not an equality of columns: rows are dealt by id alone, as the joins that follow need them
+    chosen = known.join(reps, (F.col("id") == F.col("rep")) & (F.col("row") - F.col("rep_row") == 0), "left_semi")
+    spread = chosen.select(F.explode("prefix").alias("token"), "id", "n")
     tokens = spread.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot")).filter("m > 1")
     rows = stage(spread.join(tokens.select("token", "pivot"), "token"), "tiles")
 
     # one star per tile: a document tries the pivot it shares most tiles with
-    sizes = known.select(F.col("id").alias("pivot"), F.col("n").alias("pivot_n")).distinct()
+    sizes = chosen.select(F.col("id").alias("pivot"), F.col("n").alias("pivot_n")).distinct()
     shared = (rows.filter("id <> pivot").groupBy("id", "n", "pivot").agg(F.count(F.lit(1)).alias("k"))
               .join(sizes, "pivot").filter(f"{den} * least(n, pivot_n) >= {num} * greatest(n, pivot_n)"))
     stars = (shared.groupBy("id").agg(F.max_by("pivot", F.struct("k", -F.col("pivot"))).alias("b"))
@@ -345,7 +350,7 @@ def link_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, key
     links = verify(docs, stars, n, num, den)
     for best in (True, False):
         merged = stage(components(links), "merged")
-        links = links.unionByName(verify(docs, _cell_pairs(rows, merged, known, num, den, best), n, num, den))
+        links = links.unionByName(verify(docs, _cell_pairs(rows, merged, chosen, num, den, best), n, num, den))
     found = stage(components(links), "components")
 
     placed = stage(classes.join(found, classes["rep"] == found["id"], "left")

@@ -71,6 +71,21 @@ def test_jaccard_in_blocks_and_repeated_rows(docs, monkeypatch):
     assert jaccard.drop_near_duplicates(df).columns == df.columns
 
 
+def test_jaccard_of_a_table_twice(docs, monkeypatch):
+    """Chains of texts of which only neighbours are alike, every row repeated."""
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    rng, texts = random.Random(7), []
+    for c in range(4):
+        texts += [(c, " ".join(f"c{c}w{j}" for j in range(3 * i, 3 * i + 60))) for i in range(30)]
+    rng.shuffle(texts)
+    first = {}
+    want = {i: first.setdefault(c, i) for i, (c, _) in enumerate(texts)}
+    df = docs([t for _, t in texts])
+    assert {r.doc_id: r.component_id for r in jaccard.link_digest(df).collect()} == want
+    twice = jaccard.link_digest(df.union(df)).collect()
+    assert len(twice) == 2 * len(texts) and {r.doc_id: r.component_id for r in twice} == want
+
+
 def test_jaccard_of_nothing(docs):
     assert jaccard.link_digest(docs([])).count() == 0
     assert {r.component_id for r in jaccard.link_digest(docs([None, "", " "])).collect()} == {0, 1, 2}
