@@ -8,7 +8,8 @@ labelled pages by maximum likelihood; Viterbi picks the likeliest states of
 each page. Labels: blocks under ``article`` or ``main`` markup, outside
 navigation, asides, forms and comments; each labelled page is also rewritten
 in other layouts (plain ``div`` markup, with sidebars, notices and comments
-made of other pages' text), which keeps its labels. Extraction is one narrow
+made of other pages' text), which keeps its labels. A table without such markup
+lends its long unlinked blocks as articles to the other layouts. Extraction is one narrow
 pass.
 
 Defined results: null and empty pages, and pages without article blocks, give
@@ -31,12 +32,14 @@ from pyspark.sql import DataFrame, functions as F
 FIT_PAGES = 240   # labelled pages that the model is fitted on, at most, before rewriting
 ROUNDS = 150
 L2 = 1e-3
+LAYOUTS = 120     # rewritten pages at least where no page is labelled
 _MARKER = "\ue000"
 SAMPLE_CHARS = 60_000  # longer pages are no training pages
 
 # Elements of HTML by what they do to text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIPPED = frozenset("script style template noscript iframe svg math head title object canvas audio video select".split())
+_SKIPPED = frozenset("script style template noscript iframe svg math title object canvas audio video select".split())
+_ENDLESS = _SKIPPED - frozenset("script style iframe title".split())   # without an end tag only their own tag is passed over
 _BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section "
@@ -68,6 +71,7 @@ def parse(page: str) -> list[Block]:
     tags, marks, open_tags = ["#"], [frozenset()], {}
     parts: list[str] = []
     links = linked = at = 0
+    unended = set()
     size = len(page)
 
     def flush():
@@ -87,10 +91,17 @@ def parse(page: str) -> list[Block]:
         open_tags[tag] -= 1
         links -= tag == "a"
 
+    def leave(tag):
+        while tags[-1] != tag:
+            pop()
+        pop()
+
     while at < size:
         m = _MARK.search(page, at)
         text = page[at:m.start() if m else size]
         if text:
+            if open_tags.get("head") and not text.isspace():
+                leave("head")
             parts.append(text)
             linked += len(text) if links else 0
         if not m:
@@ -107,28 +118,31 @@ def parse(page: str) -> list[Block]:
             if tag in _BLOCKS:
                 flush()
             if open_tags.get(tag):
-                while tags[-1] != tag:
-                    pop()
-                pop()
+                leave(tag)
             continue
         if tag in _RAW_END:
+            if tag in unended or tag in ("svg", "math") and page.endswith("/>", 0, at):
+                continue
             stop = _RAW_END[tag].search(page, at)
-            at = stop.start() if stop else size
             if stop:
-                at = page.find(">", at) + 1 or size
+                at = page.find(">", stop.start()) + 1 or size
+            elif tag in _ENDLESS:
+                unended.add(tag)
+            else:
+                at = size
             continue
         if tag == "br" or tag in _VOID:
             parts.append(" ")
             if tag == "hr":
                 flush()
             continue
+        if open_tags.get("head"):     # its end tag may be left out
+            leave("head")
         if tag in _BLOCKS:
             flush()
             closed = _CLOSES.get(tag, ())
             if open_tags.get("p"):
-                while tags[-1] != "p":
-                    pop()
-                pop()
+                leave("p")
             elif closed and tags[-1] in closed:
                 pop()
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(page, m.end(), end)) if end - m.end() > 4 else ""
@@ -166,6 +180,16 @@ def labels(blocks: list[Block]) -> list[int]:
     return [int(bool(b.marks & _INSIDE) and not b.marks & _OUTSIDE) for b in blocks]
 
 
+def guessed(blocks: list[Block]) -> list[int]:
+    """1 for blocks that can stand for an article where no markup names one: long
+    and unlinked ones (else the longest), with unlinked paragraphs and headings beside them."""
+    plain = [len(b.text) * (4 * b.linked <= len(b.text) and not b.marks & _OUTSIDE) for b in blocks]
+    least = min(80, max(plain, default=0)) or 1
+    beside = {(b.near[:-1], b.marks - {f"<{b.tag}>"}) for b, x in zip(blocks, plain) if x >= least}
+    return [int(x >= least or x > 0 and b.tag in ("h1", "h2", "h3", "p", "blockquote")
+                and (b.near[:-1], b.marks - {f"<{b.tag}>"}) in beside) for b, x in zip(blocks, plain)]
+
+
 # ------------------------------------------------------------------ training
 
 
@@ -224,15 +248,15 @@ def _layout(rng: random.Random, article: list[tuple[str, str]], rest: list[str])
     return page
 
 
-def rewritten(pages: list[list[Block]], seed: int = 11) -> list[tuple[list[list[str]], list[int]]]:
+def rewritten(pages: list[list[Block]], seed: int = 11, label=labels, times: int = 3) -> list[tuple[list[list[str]], list[int]]]:
     """Features and labels of the pages in other layouts."""
     rng = random.Random(seed)
     texts = [b.text for p in pages for b in p][:5000] or ["text"]
     out = []
-    for page, own in ((p, labels(p)) for p in pages):
+    for page, own in ((p, label(p)) for p in pages):
         article = [(b.tag if b.tag in ("h1", "h2", "h3", "p", "li", "blockquote") else "p", b.text[:2000])
                    for b, y in zip(page, own) if y][:40]
-        for _ in range(3 if article else 0):
+        for _ in range(times if article else 0):
             # a mark no text has goes before every article piece, to find its blocks again
             pieces = _layout(rng, article, texts)
             marked = "".join(re.sub(r">(?=[^<])", ">" + _MARKER, x, count=1) if y else x for x, y in pieces)
@@ -247,7 +271,10 @@ def fit(pages: list[str]) -> dict:
     state), ``move`` (state by state), ``first``. Maximum likelihood with L2,
     by Adam on all pages at once."""
     parsed = [b for b in map(parse, pages) if b]
-    data = [(features(b), labels(b)) for b in parsed] + rewritten(parsed)
+    if any(1 in labels(b) for b in parsed):
+        data = [(features(b), labels(b)) for b in parsed] + rewritten(parsed)
+    else:      # what the pages themselves hold is not known; few pages get more layouts
+        data = rewritten(parsed, label=guessed, times=max(3, LAYOUTS // max(1, len(parsed))))
     if not data:
         return {"names": {}, "w": np.zeros((0, 2)), "move": np.zeros((2, 2)), "first": np.zeros(2)}
     names: dict[str, int] = {}
@@ -329,10 +356,15 @@ def main_text(page: str | None, model: dict) -> str:
 
 def fit_model(pages: DataFrame) -> dict:
     """The model, fitted on the FIT_PAGES pages of least id hash that carry
-    article markup (a bounded sample of bounded pages)."""
+    article markup (a bounded sample of bounded pages); if none does, on as many
+    of all pages, as far as SAMPLE_CHARS."""
     rows = (pages.filter(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") <= SAMPLE_CHARS))
             .orderBy(F.xxhash64("page_id"), "html").select("html").limit(FIT_PAGES).collect())
-    return fit([r.html for r in rows])
+    found = [r.html for r in rows]
+    if not any(1 in labels(parse(p)) for p in found):
+        found = [r.html for r in pages.filter("html <> ''").orderBy(F.xxhash64("page_id"), "html")
+                 .select(F.substring("html", 1, SAMPLE_CHARS).alias("html")).limit(FIT_PAGES).collect()]
+    return fit(found)
 
 
 def extract(pages: DataFrame, model: dict | None = None) -> DataFrame:

@@ -79,6 +79,37 @@ def test_extraction(spark):
     assert html_crf.extract_digest(df.limit(0)).count() == 0
 
 
+def test_pages_are_not_lost_to_skipped_elements():
+    def texts(page):
+        return [b.text for b in html_crf.parse(page)]
+    assert texts("<html><head><title>t</title><meta a=b><body><p>one</p>") == ["one"]
+    assert texts("<head><title>t</title><style>x</style><p>one</p></head><p>two") == ["one", "two"]
+    assert texts("<head><title>t</title>bare text<p>two") == ["bare text", "two"]
+    assert html_crf.parse("<head><p>one")[0].marks == {"<p>"}
+    assert texts("<p>a<svg/>b</p><p>c<math x='1'/>d</p><svg><text>no</text></svg><p>e</p>") == ["ab", "cd", "e"]
+    assert texts("<p>a</p><video src=x><p>b</p><svg><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>a</p><script>if (x) <p>b</p>") == ["a"]
+    assert len(texts("<video><p>x</p>" * 20_000)) == 20_000
+
+
+@tables
+def test_extraction_without_labelled_pages(spark):
+    """Article markup renamed in every page: most of the articles is still found, most of the rest left."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    plain = pages.withColumn("html", F.regexp_replace("html", "(?i)<(/?)(article|main)\\b", "<$1div"))
+    assert plain.filter(F.col("html").rlike("(?i)<(article|main)[ >]")).count() == 0
+    got = {r.page_id: set(r.text.split("\n")) for r in html_crf.extract_digest(plain).collect()}
+    good = found = wanted = 0
+    for r in pages.collect():
+        blocks = html_crf.parse(r.html)
+        want = {b.text for b, y in zip(blocks, html_crf.labels(blocks)) if y}
+        good, found, wanted = good + len(want & got[r.page_id]), found + len(got[r.page_id]), wanted + len(want)
+    print("precision", good / found, "recall", good / wanted)
+    assert good / wanted > 0.9 and good / found > 0.9
+    few = html_crf.extract_digest(plain.limit(1)).first()
+    assert few.n_chars > 0
+
+
 @tables
 def test_extraction_of_other_layouts(spark):
     """Held-out pages, rewritten: blocks found by their labels."""
