@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, hnsw, html_crf, jaccard, langid, pii, secret_scan, substrings, toxicity
+from . import (bpe, conversations, decontaminate, hnsw, html_crf, jaccard, langid, merkle, pii, secret_scan, simhash,
+               substrings, toxicity)
+from .oracle import MANIFEST_SQL, REPAIR_SQL
 from .spans import duck_digest, duck_spans
 
 
@@ -52,6 +54,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digest(_table(spark, sf_dir, "conversations"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_extract": op1_extract,
     "op2_bpe": op2_bpe,
@@ -63,6 +77,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
+    "op11_manifest": op11_manifest,
+    "op12_conversations": op12_conversations,
+    "op13_simhash": op13_simhash,
 }
 
 # ------------------------------------------------------------------ DuckDB
@@ -128,4 +145,6 @@ ORACLE_SQL = {
     "op6_decontaminate": CONTAMINATION_SQL,
     "op10_secrets": _spans_sql([duck_spans(k, n, *_DUCK_RULES[k]) for n, k in enumerate(_DUCK_RULES)],
                                _counts(secret_scan.BASE), 3),
+    "op11_manifest": MANIFEST_SQL,
+    "op12_conversations": REPAIR_SQL,
 }
