@@ -247,22 +247,36 @@ def decode_entities(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
 
+# Stands for a < that opens nothing; a code point that no text may exchange.
+_OPEN = "\ufdd0"
+
+
+def _markable(text: Column) -> Column:
+    """``text`` with every ``<`` hidden that no ``>``, and every ``<!--`` that no
+    ``-->`` follows: no pattern starts there, only to read to the end in vain."""
+    def before(whole: Column, end: Column) -> Column:
+        return F.left(whole, F.length(whole) - F.length(end))
+
+    rest = F.substring_index(text, "-->", -1)
+    return let(rest, lambda rest: let(F.substring_index(rest, ">", -1), lambda tail: F.when(
+        F.contains(rest, F.lit("<!--")) | F.contains(tail, F.lit("<")), F.concat(
+            before(text, rest), F.replace(before(rest, tail), F.lit("<!--"), F.lit(_OPEN + "!--")),
+            F.translate(tail, "<", _OPEN))).otherwise(text)))
+
+
 def html_to_text(c: Column) -> Column:
-    """Visible text nodes, each stripped, blanks dropped, joined by newlines."""
+    """Visible text nodes, each stripped, blanks dropped, joined by newlines.
+    Linear in the text, whatever is left unclosed."""
     text = F.coalesce(c, F.lit(""))
     # a reference cut off by the end of the document stays literal text
     text = F.regexp_replace(text, r"&([a-zA-Z#])\z", "$1")
     text = F.regexp_replace(
-        text, r"&([a-zA-Z][a-zA-Z0-9.-]*|#[0-9]+|#[xX][0-9a-fA-F]+)\z", "&amp;$1")
+        text, r"&([a-zA-Z][a-zA-Z0-9.-]*+|#[0-9]++|#[xX][0-9a-fA-F]++)\z", "&amp;$1")
     # comments and hidden elements end the text node around them
-    hidden = "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in _HIDDEN)
-    text = F.regexp_replace(text, rf"(?is)<!--.*?-->|{hidden}", "<r>")
-    # no tag ends after the last >: that rest is text, and is not searched for tags
-    nodes = let(F.length(text) - F.coalesce(F.nullif(F.instr(F.reverse(text), ">"), F.lit(0)), F.length(text) + 1) + 1,
-                lambda end: let(F.split(F.substring(text, F.lit(1), end), _TAG, -1), lambda n: F.concat(
-                    F.slice(n, F.lit(1), F.size(n) - 1),
-                    F.array(F.concat(F.element_at(n, -1), F.substring(text, end + 1, F.length(text)))))))
-    nodes = F.transform(nodes, lambda n: utrim(decode_entities(n)))
+    hidden = "|".join(rf"<{t}\b[^>]*+>.*?(?:</{t}\s*+>|\z)" for t in _HIDDEN)
+    text = let(text, lambda t: F.regexp_replace(_markable(t), rf"(?is)<!--.*?-->|{hidden}", "<r>"))
+    nodes = F.transform(F.split(text, _TAG, -1), lambda n: utrim(decode_entities(
+        F.when(F.contains(n, F.lit(_OPEN)), F.translate(n, _OPEN, "<")).otherwise(n))))
     return F.array_join(F.filter(nodes, lambda n: n != ""), "\n")
 
 

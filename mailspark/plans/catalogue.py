@@ -20,7 +20,9 @@ from ..operators import rules as B
 from ..operators import stats as S
 from ..operators import views as V
 from ..session import shared_dir
-from ..sources import eml, stores, tables as A
+from ..sources import eml, stores
+from ..sources import tables as A
+from ..sources.commits import compact
 from ..streaming import jobs as J
 from . import hooks as H
 from . import ingest as I
@@ -411,7 +413,11 @@ def split_spam(spark, sf):
 
 @query
 def isolate_errors(spark, sf):
-    parsed = eml.parse_messages(A.raw_messages(A.messages(spark, sf)), keep_raw=False)
+    """Every seventh message has a From header that cannot be parsed."""
+    raw = A.raw_messages(A.messages(spark, sf))
+    broken = F.regexp_replace("content", "\\AFrom: [^\n]*", "From: a@[")
+    raw = raw.withColumn("content", F.when(F.col("uid").cast("bigint") % 7 == 0, broken).otherwise(F.col("content")))
+    parsed = eml.parse_messages(raw, keep_raw=False)
     good, bad = eml.isolate_errors(parsed)
     sides = (good.select("sender", F.lit(1).alias("g"))
              .unionByName(bad.select(F.lit("").alias("sender"), F.lit(0).alias("g"))))
@@ -445,6 +451,16 @@ def ingest_accepted(spark, sf):
     return _stored(spark, store)
 
 
+@query
+def ingest_replayed(spark, sf):
+    """A batch with an odd label, run twice; then the same messages in another one."""
+    store = I.Stores(shared_dir(spark, "replayed"))
+    stores.append_ledger(_label_ledger(spark, sf), store.ledger)
+    for label in ("nightly run-1 50%/ё=+", "nightly run-1 50%/ё=+", "late"):
+        I.ingest(_with_raw(A.messages(spark, sf)), store, SHIPPED, batch=label)
+    return _stored(spark, store)
+
+
 @query
 def reprocess_results(spark, sf):
     store = I.Stores(shared_dir(spark, "reprocess"))
@@ -500,6 +516,31 @@ def ledger_roundtrip(spark, sf):
     return stores.read_ledger(spark, path)
 
 
+@query
+def ledger_json(spark, sf):
+    """Uids kept elsewhere as JSON lists, one file per quality; then committed
+    ones, merged into folders by key."""
+    path = shared_dir(spark, "ledger")
+    lists = A.table(spark, sf, "labels").groupBy("quality").agg(F.to_json(F.collect_list(
+        F.col("doc_id").cast("string"))).alias("text"))
+    stores.write_files(lists.select(F.concat(F.col("quality").cast("string"), F.lit(".json")).alias("name"), "text"), path)
+    stores.append_ledger(_user_ledger(spark, sf), path, "first")
+    stores.append_ledger(_label_ledger(spark, sf), path, "second")      # all there already
+    compact(spark, path, keys_only=True, everything=True)
+    return stores.read_ledger(spark, path)
+
+
+@query
+def stored_contact(spark, sf):
+    """One result of a store of several batches, merged into folders by key."""
+    path = shared_dir(spark, "upsert")
+    for rows in (A.supplier_results(spark, sf), A.table(spark, sf, "nation").select(
+            F.col("n_nationkey").cast("string").alias("uid"), F.col("n_name").alias("value"))):
+        stores.write_results(rows, path)
+    compact(spark, path, everything=True)
+    return stores.read_result(spark, path, "7")
+
+
 @query
 def review_upsert(spark, sf):
     path = shared_dir(spark, "review")

@@ -464,8 +464,11 @@ UNION ALL SELECT 'best', count(*), CAST(sum(greatest(sa, sb)) AS BIGINT), count(
     "only_missing": with_(MESSAGES) + f"SELECT uid, sender, size_bytes FROM messages WHERE uid NOT IN ({USERS})",
     "split_spam": with_(MESSAGES, judged(K.SHIPPED)) + """SELECT uid, CASE WHEN is_spam THEN 'rejected' ELSE 'accepted' END AS side,
  reason_code FROM judged""",
-    "isolate_errors": with_(MESSAGES) + "SELECT sender, count(*) AS n_good, CAST(0 AS BIGINT) AS n_bad FROM messages GROUP BY sender",
+    "isolate_errors": with_(MESSAGES) + """SELECT CASE WHEN bad THEN '' ELSE sender END AS sender,
+ count(*) FILTER (NOT bad) AS n_good, count(*) FILTER (bad) AS n_bad
+ FROM (SELECT sender, CAST(uid AS BIGINT) % 7 = 0 AS bad FROM messages) GROUP BY 1""",
     "ingest_accepted": with_(*PLAIN_RISK) + stored(f"WHERE uid NOT IN ({LEDGER})"),
+    "ingest_replayed": with_(*PLAIN_RISK) + stored(f"WHERE uid NOT IN ({LEDGER})"),
     "reprocess_results": with_(MESSAGES, RULES, final(basic_code(K.SHIPPED), "rule_contacts")) + f"""
 , kept AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS uid FROM labels WHERE CAST(doc_id AS VARCHAR) NOT IN ({USERS}))
 {stored('WHERE uid NOT IN (SELECT uid FROM kept)')}
@@ -478,7 +481,11 @@ UNION ALL SELECT uid, 'accepted', NULL, '', 'kept' FROM kept""",
  FROM (SELECT CAST(s_suppkey AS VARCHAR) AS uid, concat('{"full_name": "Sales", "emails": ["info@s', s_suppkey,
    '.example"], "phones": [], "company": "', s_name, '", "position": "", "product": ""}') AS value FROM supplier) s
  FULL JOIN (SELECT CAST(n_nationkey AS VARCHAR) AS uid, n_name AS value FROM nation) n ON s.uid = n.uid""",
+    "ledger_json": "SELECT CAST(user_id AS VARCHAR) AS uid FROM events UNION SELECT CAST(doc_id AS VARCHAR) FROM labels",
     "ledger_roundtrip": "SELECT CAST(user_id AS VARCHAR) AS uid FROM events UNION SELECT CAST(doc_id AS VARCHAR) FROM labels",
+    "stored_contact": """SELECT '7' AS uid, coalesce((SELECT n_name FROM nation WHERE n_nationkey = 7), (SELECT
+ concat('{"full_name": "Sales", "emails": ["info@s7.example"], "phones": [], "company": "', s_name,
+   '", "position": "", "product": ""}') FROM supplier WHERE s_suppkey = 7)) AS value, '7.json' AS filename""",
     "review_upsert": with_(MESSAGES) + f"""SELECT uid, subject, CASE WHEN body_code IS NULL THEN concat('Subject matches blacklist: ', substring(subject, 1, 50))
  WHEN body_code = 'BODY' THEN 'Body contains blacklisted content' ELSE concat('Sender ', sender, ' is blacklisted') END AS reason
  FROM (SELECT *, {basic_code(K.SHIPPED)} AS code, {basic_code(K.SHIPPED.with_(subject_blacklist=()))} AS body_code FROM messages)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import LINE_BREAKS, utrim
 from ..session import arrow_uri
+from .commits import Batch, find_keys, latest_rows, read_one, read_rows
 from .eml import empty_files
 
 # --------------------------------------------------------------------------
@@ -57,33 +58,29 @@ def read_result_files(spark: SparkSession, path: str) -> DataFrame:
 # keyed stores: append a version, read the latest
 
 
+def _label(batch: str | None) -> str:
+    return batch if batch is not None else f"{time.time_ns():020d}"
+
+
 def upsert(df: DataFrame, path: str, batch: str | None = None) -> None:
-    """Add the rows of ``df`` (keyed by ``uid``) as a new version.
+    """Add the rows of ``df`` (keyed by ``uid``) as a new version, as a whole.
 
-    A write costs what the batch costs, however large the store is. Each
-    batch has its own folder, replaced when the same batch is written again.
+    A write costs what the batch costs, however large the store is. The same
+    batch written again replaces what it wrote.
     """
-    stamp = time.time_ns()
-    label = batch if batch is not None else f"{stamp:020d}"
-    (df.withColumn("_seq", F.lit(stamp).cast("bigint"))
-     .write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={label}"))
+    written = Batch(df.sparkSession, path, _label(batch), alone=True)
+    written.write(".", df)
+    written.commit()
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
     """The latest row per uid. ``max_by`` combines before the shuffle, so a
     uid rewritten very often still sends one row per task. Rows of one batch
     are told apart by their contents."""
-    stored = spark.read.option("basePath", path).parquet(path)
-    fields = [c for c in stored.columns if c not in ("uid", "_seq", "batch")]
-    latest = stored.groupBy("uid").agg(
-        F.max_by(F.struct(*fields), F.struct("_seq", F.col("batch").cast("string"),
-                                             *[F.to_json(F.struct(f)) for f in fields])).alias("r"))
-    return latest.select("uid", *[F.col(f"r.{f}").alias(f) for f in fields])
-
-
-def compact(spark: SparkSession, path: str, new_path: str) -> None:
-    """Rewrite a store with only its latest rows, to a new place."""
-    upsert(read_latest(spark, path), new_path)
+    stored = read_rows(spark, path)
+    if stored is None:
+        raise FileNotFoundError(f"nothing is committed at {path}")
+    return latest_rows(stored).drop("_seq", "_batch")
 
 
 def write_results(results: DataFrame, path: str, batch: str | None = None) -> None:
@@ -97,8 +94,12 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_result(spark: SparkSession, path: str, uid: str) -> DataFrame:
-    """The stored result of one message; the key reaches the parquet scan."""
-    return read_results(spark, path).filter(F.col("uid") == uid)
+    """The stored result of one message: one folder of each merged entry is
+    read, and the key reaches the parquet scan."""
+    stored = read_one(spark, path, uid)
+    if stored is None:
+        raise FileNotFoundError(f"nothing is committed at {path}")
+    return latest_rows(stored).drop("_seq", "_batch").withColumn("filename", F.concat("uid", F.lit(".json")))
 
 
 def review_rows(judged: DataFrame, when: Column | None = None) -> DataFrame:
@@ -129,16 +130,11 @@ def archive_rows(judged: DataFrame) -> DataFrame:
 # ledger of handled uids
 
 
+def ledger_lines(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame | None:
+    """Uids of the text files of a ledger kept elsewhere; None without any.
 
-
-def read_ledger(spark: SparkSession, path: str, layout: str = "auto",
-                except_batch: str | None = None) -> DataFrame:
-    """Handled uids, one row each.
-
-    ``lines``: text files with one uid per line, read in splits of any size.
-    ``auto`` also takes files that are one JSON list on their lines; no file
-    is read whole. Folders named after a batch belong to that batch;
-    ``except_batch`` leaves one out. A missing ledger is empty.
+    ``lines``: one uid per line, read in splits of any size. ``auto`` also
+    takes files that are one JSON list on their lines; no file is read whole.
     """
     if layout not in ("lines", "auto"):
         raise ValueError(f"unknown ledger layout {layout!r}")
@@ -147,9 +143,9 @@ def read_ledger(spark: SparkSession, path: str, layout: str = "auto",
     except Exception as err:   # noqa: BLE001 - only "no such path" is handled
         if "PATH_NOT_FOUND" not in str(err):
             raise
-        return spark.createDataFrame([], "uid string")
-    if except_batch is not None:
-        stored = stored.filter(~F.contains(F.col("_metadata.file_path"), F.lit(f"/batch={except_batch}/")))
+        return None
+    if not stored.inputFiles():
+        return None
     parts = F.split("value", LINE_BREAKS, -1)
     if layout == "auto":
         # a list on one line, or a line of a list that is spread over several
@@ -161,22 +157,51 @@ def read_ledger(spark: SparkSession, path: str, layout: str = "auto",
         parts = F.coalesce(listed, F.when(bracket, F.array().cast("array<string>")),
                            F.when(item != "", F.array(item)), parts)
     uids = stored.select(F.explode(parts).alias("uid")).select(utrim(F.col("uid")).alias("uid"))
-    return uids.filter(F.col("uid") != "").distinct()
-
+    return uids.filter(F.col("uid") != "")
 
-def append_ledger(uids: DataFrame, path: str, batch: str | None = None, new: bool = False) -> None:
-    """Add uids that are neither blank nor present, under their batch.
 
-    A batch written again replaces what it wrote. ``new`` says that the uids
-    are known to be absent from other batches, so the ledger is not read.
-    """
-    spark = uids.sparkSession
-    label = batch if batch is not None else f"{time.time_ns():020d}"
-    clean = (uids.select(utrim(F.col("uid").cast("string")).alias("uid"))
-             .filter(F.col("uid") != "").dropDuplicates(["uid"]))
-    if not new:
-        clean = clean.join(read_ledger(spark, path, except_batch=label), "uid", "left_anti")
-    clean.write.mode("overwrite").text(f"{path.rstrip('/')}/batch={label}")
+def read_ledger(spark: SparkSession, path: str, layout: str = "auto",
+                except_batch: str | None = None) -> DataFrame:
+    """Handled uids, one row each: committed ones and those of text files in the
+    folder (or of the file ``path``). ``except_batch`` leaves out what one batch
+    committed. A missing ledger is empty."""
+    lines, rows = ledger_lines(spark, path, layout), read_rows(spark, path)
+    if rows is not None:
+        if except_batch is not None:
+            rows = rows.filter(F.col("_batch") != except_batch)
+        lines = rows.select("uid") if lines is None else lines.unionByName(rows.select("uid"))
+    return spark.createDataFrame([], "uid string") if lines is None else lines.distinct()
+
+
+def handled(spark: SparkSession, path: str, keys: DataFrame, layout: str = "auto",
+            except_batch: str | None = None) -> DataFrame | None:
+    """Which ``uid`` of ``keys`` are in the ledger; None if it is empty. Reads
+    the ledger's folders that may hold them (and text files whole)."""
+    found, lines = find_keys(spark, path, keys, except_batch), ledger_lines(spark, path, layout)
+    if lines is not None:
+        listed = keys.join(lines, "uid", "left_semi")
+        found = listed if found is None else found.unionByName(listed)
+    return found
+
+
+def ledger_rows(uids: DataFrame) -> DataFrame:
+    """Trimmed uids, without blanks and repeats."""
+    return (uids.select(utrim(F.col("uid").cast("string")).alias("uid"))
+            .filter(F.col("uid") != "").dropDuplicates(["uid"]))
+
+
+def append_ledger(uids: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add uids that are neither blank nor present, under their batch. A batch
+    written again replaces what it wrote."""
+    spark, label = uids.sparkSession, _label(batch)
+    rows = ledger_rows(uids)
+    known = handled(spark, path, rows, except_batch=label)
+    upsert(rows if known is None else rows.join(known, "uid", "left_anti"), path, label)
+
+
+def write_ledger_lines(spark: SparkSession, path: str, target: str) -> None:
+    """The ledger as text files of one uid per line."""
+    read_ledger(spark, path).write.mode("overwrite").text(target)
 
 
 # --------------------------------------------------------------------------

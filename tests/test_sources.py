@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from mailspark.sources import eml, stores
+from mailspark.sources import commits, eml, stores
 
 
 def write(folder, name, data):
@@ -95,7 +95,13 @@ def test_ledger_append(spark, tmp_path):
     stores.append_ledger(df, path)
     stores.append_ledger(spark.createDataFrame([(3,)], "uid int"), path)
     assert uids(stores.read_ledger(spark, path)) == ["1", "2", "3"]
-    assert spark.read.text(path).count() == 3
+    assert commits.read_rows(spark, path).count() == 3
+    stores.write_ledger_lines(spark, path, str(tmp_path / "lines"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "lines")).collect()) == ["1", "2", "3"]
+    write(tmp_path / "ledger", "old.txt", "3\n9\n")                 # text files beside committed uids
+    assert uids(stores.read_ledger(spark, path)) == ["1", "2", "3", "9"]
+    stores.append_ledger(spark.createDataFrame([("9",), ("10",)], "uid string"), path)
+    assert commits.read_rows(spark, path).count() == 4
 
 
 def test_upsert_keeps_the_latest(spark, tmp_path):
@@ -106,10 +112,81 @@ def test_upsert_keeps_the_latest(spark, tmp_path):
     get = lambda p=path: {r.uid: r.value for r in stores.read_results(spark, p).collect()}
     assert get() == {"1": "a", "2": "c"}
     stores.write_results(frame(("2", "c")), path, "b-2")      # the same batch again
-    assert get() == {"1": "a", "2": "c"} and spark.read.parquet(path).count() == 3
-    stores.compact(spark, path, str(tmp_path / "compact"))
-    assert get(str(tmp_path / "compact")) == {"1": "a", "2": "c"}
-    assert spark.read.parquet(str(tmp_path / "compact")).count() == 2
+    assert get() == {"1": "a", "2": "c"} and commits.read_rows(spark, path).count() == 3
+    assert not commits.compact(spark, path)                      # no tier is full
+    assert commits.compact(spark, path, everything=True)
+    assert get() == {"1": "a", "2": "c"} and commits.read_rows(spark, path).count() == 2
+    stores.write_results(frame(("3", "d")), path, "b-2")         # replaces rows that were merged
+    assert get() == {"1": "a", "3": "d"}
+    stores.write_results(frame(("3", "e")), path, "b-3")
+    assert commits.compact(spark, path, everything=True)
+    assert get() == {"1": "a", "3": "e"}
+    assert commits.vacuum(spark, path) == 0 and commits.vacuum(spark, path, -1) > 5
+    assert get() == {"1": "a", "3": "e"}
+
+
+def test_log_records(spark, tmp_path):
+    """More commits than between two full records, two writers, a torn record."""
+    path = str(tmp_path / "store")
+    for n in range(2 * commits.FULL + 3):
+        entry = commits.Entry("t", f"a{n}", f"b{n % 30}")
+        assert commits.append_log(spark, path, f"b{n % 30}", [entry])
+        if n == 25:
+            (tmp_path / "store" / "_commits" / f"{n + 2:020d}.json").write_text('{"full": fal')
+    version, entries = commits.read_log(spark, path)
+    assert version == 2 * commits.FULL + 4
+    assert {e.batch: e.attempt for e in entries} == {f"b{n % 30}": f"a{n}" for n in range(2 * commits.FULL + 3)}
+    assert len(entries) == 30
+    gone = entries[0]
+    assert commits.append_log(spark, path, None, [], [gone])
+    assert not commits.append_log(spark, path, None, [], [gone])
+    assert not commits._put(spark, f"{path}/_commits/{version:020d}.json", "x")
+
+
+def test_ledger_lookup_reads_few_folders(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    monkeypatch.setattr(commits, "PART_ROWS", 100)
+    monkeypatch.setattr(commits, "FAN", 3)
+    for n in range(3):
+        ids = spark.range(n * 2000, (n + 1) * 2000).select(F.concat(F.lit("m"), "id").alias("uid"))
+        stores.upsert(stores.ledger_rows(ids), path, f"b{n}")
+    assert commits.compact(spark, path, keys_only=True) and not commits.compact(spark, path, keys_only=True)
+    (_, merged), = commits.entries_of(spark, path)
+    assert merged.parts == 60 and merged.rows == 6000
+    keys = spark.createDataFrame([("m17",), ("m5999",), ("new1",), ("new2",)], "uid string")
+    asked, parts = [], commits._parts
+    monkeypatch.setattr(commits, "_parts", lambda df: asked.append(parts(df)) or asked[-1])
+    found = commits.find_keys(spark, path, keys)
+    assert uids(found) == ["m17", "m5999"]
+    bitmaps, folders = asked                                  # of 60
+    assert len(bitmaps) <= 4 and set(folders) <= set(bitmaps)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan and not set(plan.split()) & {"content", "body"}
+    scans = found._jdf.queryExecution().executedPlan().toString().split("FileScan parquet")[1:]
+    assert all("PartitionFilters: [" in x and "PartitionFilters: []" not in x for x in scans if "_part" in x.split("Batched")[0])
+    assert uids(commits.find_keys(spark, path, keys, except_batch="b0")) == ["m5999"]
+    # keys the ledger lacks hardly ever pass the bitmaps
+    absent = spark.range(2000).select(F.concat(F.lit("z"), "id").alias("uid"))
+    assert uids(commits.find_keys(spark, path, absent)) == []
+    assert len(asked[-2]) == 60 and len(asked[-1]) < 10
+    assert uids(commits.find_keys(spark, path, keys.limit(0))) == []
+    stores.upsert(spark.createDataFrame([("m17",)], "uid string"), path, "b0")     # b0 replaced
+    assert uids(commits.find_keys(spark, path, keys)) == ["m17", "m5999"]
+    assert stores.read_ledger(spark, path).count() == 4001
+    assert commits.find_keys(spark, str(tmp_path / "none"), keys) is None
+
+
+def test_one_result_of_a_merged_store(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    monkeypatch.setattr(commits, "PART_ROWS", 100)
+    for n in range(3):
+        stores.write_results(spark.range(1000).select(F.col("id").cast("string").alias("uid"), F.lit(f"v{n}").alias("value")), path)
+    assert commits.compact(spark, path, everything=True)
+    one = stores.read_result(spark, path, "77")
+    assert [tuple(r) for r in one.select("uid", "value", "filename").collect()] == [("77", "v2", "77.json")]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(uid,77)" in plan and "_part" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert len({f.split("_part=")[1].split("/")[0] for f in stores.read_results(spark, path).inputFiles()}) == 10
 
 
 def test_point_lookup_reaches_the_scan(spark, tmp_path):

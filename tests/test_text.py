@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -193,3 +194,18 @@ def test_long_dotted_run_is_linear(spark):
     got = rows.select(extract_emails(F.col("t")).alias("o")).first().o
     assert time.time() - start < 20
     assert got == ["x@y.com", "q@w.org", ".c@d.ru", "a@b.co", ".d@e.fr"]
+
+
+@pytest.mark.parametrize("opening", ["<!--", "<script ", "<style", "<script>", "<a href='", "<template x", "<", "&#1",
+                                     "</script ", "-->", "<!-->", "<style><!--"])
+def test_unclosed_markup_is_read_once(rows, opening):
+    """A megabyte of it ends in seconds."""
+    start = time.time()
+    got = rows(["a" + opening * (1_000_000 // len(opening)) + "b"], T.html_to_text(V))[0]
+    assert time.time() - start < 20 and got.startswith("a")
+
+
+def test_unclosed_markup(rows):
+    cases = {"a<!-- b": "a<!-- b", "x <script a>y": "x", "x <script y": "x <script y", "<p>1</p><script>2 < 3": "1",
+             "<!-- <script> -->a<script>--></script>b": "a\nb", "a<!--x-->b<p>c <d": "a\nb\nc <d", "1 < 2 <b>3</b> 4 <": "1 < 2\n3\n4 <"}
+    assert rows(list(cases), T.html_to_text(V)) == list(cases.values())
