@@ -1,15 +1,22 @@
-"""Substring dedup with prefix-partitioned suffix trees over words.
+"""Substring dedup by subtrees over words, partitioned by prefix.
 
 A window is ``size`` consecutive words. Its prefix key is the least of the
 hashes of its runs of PREFIX words: equal windows have equal keys, and
-neighbouring windows mostly share one, so a document is a row of suffix groups
-with one key each. Keys that only one document holds are dropped by a count;
-the rest split the suffixes into groups. A task takes whole groups up to a
-bounded number of words, and finds the tree nodes of depth ``size`` by prefix
-doubling: after it, suffixes under one node bear one number. A node's smallest
-document keeps its windows, all other leaves lose theirs. Where a prefix has
-too many suffixes its length grows to the whole window, so that such groups
-combine before they meet.
+neighbouring windows mostly share one, so a document is a row of runs of
+windows with one key each. (The prefix of every suffix would be a key of its
+own, and each suffix would carry its next ``size`` words: fifty times the
+text.) Keys that only one document holds are dropped by a count.
+
+Equal runs are one class, known by the digest of its words. Where a class has
+several documents, all but the smallest lose the whole run; only the smallest
+one's goes on, and only if its key has other classes. So a group of copies or
+near copies costs one row per copy and run, and meets others as one. The runs
+of a key are a group of suffixes; a task takes whole groups up to a bounded
+number of words, and finds the tree nodes of depth ``size`` by prefix doubling:
+after it, suffixes under one node bear one number. A node's smallest document
+keeps its windows, all other leaves lose theirs. Where a key has too many
+classes the prefix grows to the whole window, so that such groups combine
+before they meet.
 
 Defined results: null and empty texts have no words; texts are read whole;
 documents of equal word sequences count once (the smallest id keeps its
@@ -32,7 +39,7 @@ from .wordhash import WordHasher, grams
 
 WINDOW = 50
 PREFIX = 8
-GROUP_SUFFIXES = 2048   # runs of windows with one prefix beyond which it is lengthened
+GROUP_SUFFIXES = 2048   # different runs of windows with one prefix beyond which it is lengthened
 TREE_WORDS = 1_000_000  # words of the groups that one tree is built of
 
 
@@ -86,50 +93,59 @@ def _scan(size: int):
     return run
 
 
-_SUFFIXES = "key bigint, id bigint, start int, n int, words binary, deep binary"
+_RUNS = "key bigint, id bigint, start int, n int, digest binary, words binary"
 
 
-def _suffixes(size: int):
-    """Runs of windows that share a key which other documents hold too.
+def _runs(size: int):
+    """Runs of windows that share a key which other documents hold too. ``words``
+    are those from the first window's start to the last one's end."""
+    kinds = {"key": pa.int64(), "id": pa.int64(), "start": pa.int32(), "n": pa.int32(), "digest": pa.binary(),
+             "words": pa.binary()}
+
+    def batch_of(out):
+        return pa.RecordBatch.from_pydict({c: pa.array(v, kinds[c]) for c, v in out.items()})
 
-    ``words`` are the words from the first window's start to the last one's
-    end. Under a lengthened prefix each window is a row of its own, known by
-    the digest of all its words.
-    """
     def run(batches):
         hasher = WordHasher(False)
+        out = {c: [] for c in kinds}
         for part in _parts(batches, 64):
-            out = {c: [] for c in ("key", "id", "start", "n", "words", "deep")}
             texts = _encoded(part)
             for me, live, data, (h, s, e) in zip(part.column("id").to_pylist(), part.column("live").to_pylist(),
                                                  texts, hasher.many(texts)):
-                known = {np.uint64(x["key"] & 0xFFFFFFFFFFFFFFFF): x["deep"] for x in live}
                 g, at = _prefixes(h, size)
-                free = np.isin(g[at], np.array(list(known), np.uint64))
+                free = np.isin(g[at], np.array(live, np.int64).view(np.uint64))
                 cut = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (free[1:] != free[:-1]), [True])))
                 for x, y in zip(cut[:-1], cut[1:]):
                     if not free[x]:
                         continue
-                    key = g[at[x]]
-                    deep = known[key]
-                    for a, m in ([(k, 1) for k in range(x, y)] if deep else [(x, y - x)]):
-                        words = b" ".join(data[s[a]:e[a + m + size - 2]].split())
-                        out["key"].append(int(key.view(np.int64)))
-                        out["id"].append(me)
-                        out["start"].append(int(a))
-                        out["n"].append(int(m))
-                        out["words"].append(None if deep else words)
-                        out["deep"].append(hashlib.blake2b(words, digest_size=16).digest() if deep else None)
+                    words = b" ".join(data[s[x]:e[y + size - 2]].split())
+                    out["key"].append(int(g[at[x]].view(np.int64)))
+                    out["id"].append(me)
+                    out["start"].append(int(x))
+                    out["n"].append(int(y - x))
+                    out["digest"].append(hashlib.blake2b(words, digest_size=16).digest())
+                    out["words"].append(words)
                 if len(out["key"]) > 20_000:
                     yield batch_of(out)
                     out = {c: [] for c in out}
-            if out["key"]:
-                yield batch_of(out)
+        if out["key"]:
+            yield batch_of(out)
+    return run
 
-    def batch_of(out):
-        kinds = {"key": pa.int64(), "id": pa.int64(), "start": pa.int32(), "n": pa.int32(), "words": pa.binary(),
-                 "deep": pa.binary()}
-        return pa.RecordBatch.from_pydict({c: pa.array(v, kinds[c]) for c, v in out.items()})
+
+def _windows(size: int):
+    """Each window of a run by the digest of all its words: ``deep, id, start``."""
+    def run(batches):
+        for part in _parts(batches):
+            deep, ids, starts = [], [], []
+            for me, start, n, words in zip(*(part.column(c).to_pylist() for c in ("id", "start", "n", "words"))):
+                split = words.split()
+                for k in range(n):
+                    deep.append(hashlib.blake2b(b" ".join(split[k:k + size]), digest_size=16).digest())
+                    ids.append(me)
+                    starts.append(start + k)
+            yield pa.RecordBatch.from_pydict({"deep": pa.array(deep, pa.binary()), "id": pa.array(ids, pa.int64()),
+                                              "start": pa.array(starts, pa.int32())})
     return run
 
 
@@ -213,21 +229,30 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
               .withColumn("whole", F.lit(True)))
     leaders = classes.select(F.col("first").alias("id")).filter("id IS NOT NULL")
     keyed = known.join(small(leaders), "id", "left_semi").select("id", F.explode("keys").alias("key"))
-    counts = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("x"), F.max("id").alias("y"))
-                   .filter("x < y").select("key", (F.col("m") > GROUP_SUFFIXES).alias("deep")), "keys")
-    live = stage(keyed.join(counts, "key").groupBy("id").agg(F.collect_set(F.struct("key", "deep")).alias("live")),
-                 "live")
+    shared = stage(keyed.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("key"),
+                   "keys")
+    live = stage(keyed.join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("live")), "live")
     n_live = live.agg(F.coalesce(F.sum(F.size("live")), F.lit(0))).first()[0]
-    suffixes = stage(docs.join(small(live, n_live), "id").select("id", "text", "live")
-                     .mapInArrow(_suffixes(size), _SUFFIXES), "suffixes")
-    trees = (suffixes.filter("deep IS NULL").select("key", "id", "start", "n", "words").repartition("key")
+    runs = stage(docs.join(small(live, n_live), "id").select("id", "text", "live").mapInArrow(_runs(size), _RUNS), "runs")
+    groups = stage(runs.groupBy("key", "digest").agg(F.min("id").alias("first"), F.max("id").alias("last")), "groups")
+    stop = F.col("start") + F.col("n") + F.lit(size - 1)
+    held = (runs.select("key", "digest", "id", "start", "n").join(groups.filter("first < last"), ["key", "digest"])
+            .filter("id > first").select("id", "start", stop.alias("stop")))
+    # a key of one class has nothing left to compare
+    sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(
+        "key", (F.col("m") > GROUP_SUFFIXES).alias("deep"))
+    firsts = groups.join(sizes, "key").select("key", "digest", F.col("first").alias("id"), "deep")
+    left = stage(runs.join(firsts, ["key", "digest", "id"]).dropDuplicates(["key", "digest", "id", "start"]), "firsts")
+    trees = (left.filter("NOT deep").select("key", "id", "start", "n", "words").repartition("key")
              .sortWithinPartitions("key").mapInArrow(_trees(size), "id bigint, start int, stop int"))
-    deep = suffixes.filter("deep IS NOT NULL").select("deep", "id", "start")
-    least = stage(deep.groupBy("deep").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-                  .filter("least < most").select("deep", "least"), "least")
+    deep = stage(left.filter("deep").select("id", "start", "n", "words").mapInArrow(
+        _windows(size), "deep binary, id bigint, start int"), "windows")
+    least = (deep.groupBy("deep").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+             .filter("least < most").select("deep", "least"))
     lost = deep.join(least, "deep").filter("id > least").select(
         "id", "start", (F.col("start") + size).alias("stop"))
-    spans = (trees.unionByName(lost).groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
+    spans = (trees.unionByName(lost).unionByName(held).groupBy("id")
+             .agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
     return stage(spans.join(copies, "id", "full"), "repeats")
 
 
@@ -274,7 +299,9 @@ def _cut_text():
 
 def _with_spans(docs: DataFrame, size: int) -> DataFrame:
     found = repeated_spans(docs, size).withColumnRenamed("id", "s_id")
-    return docs.join(small(found), docs["id"] == found["s_id"], "left").select("id", "text", "whole", "spans")
+    # a row weighs as many numbers as its spans hold
+    weight = found.agg(F.coalesce(F.sum(2 + 2 * F.coalesce(F.size("spans"), F.lit(0))), F.lit(0))).first()[0]
+    return docs.join(small(found, weight), docs["id"] == found["s_id"], "left").select("id", "text", "whole", "spans")
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
