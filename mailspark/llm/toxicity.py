@@ -4,10 +4,14 @@ Categories are learned one after the other: each logistic model sees a
 document's hashed words, their first letters and the probabilities of the categories before it.
 For training those probabilities come from models that have not seen the row
 (out of fold), so a later model meets them as it will in use. Models are
-fitted on a bounded sample of labelled rows; scoring is one narrow pass.
+fitted on a bounded sample of labelled rows; scoring is one narrow pass. Words
+are chosen by each model's own rows, so a fold's labels do not reach the model
+that judges it.
 
 Defined results: null and empty texts have no words and get the models'
-base rates; texts are read whole; repeated rows give repeated results; without
+base rates; texts are read whole; repeated rows give repeated results and count
+once in fitting (of several marks or texts of one id the least); ids are taken
+in the order of their hash, ties by id; without
 labels of both kinds a category's probability is its share (0 if unlabelled);
 an empty table gives an empty table; other columns do not enter.
 """
@@ -95,54 +99,83 @@ def fit_linear(row: np.ndarray, col: np.ndarray, n: int, earlier: np.ndarray, y:
     return Model(used, w[:size], w[size:size + k], float(w[-1]))
 
 
-def fit_chain(labelled: DataFrame, categories: list[str], limit: int = FIT_ROWS) -> list[Model]:
-    """One model per category, from ``id, text`` and 0/1 columns. The rows of
-    least id hash, ``limit`` at most, take part; tasks hash their words."""
-    sample = (labelled.select("id", "text", *[F.col(c).cast("double").alias(c) for c in categories])
-              .filter(" AND ".join(f"{c} IS NOT NULL" for c in categories))
-              .orderBy(F.xxhash64("id"), "text").limit(limit))
+def sample_marks(marks: DataFrame, categories: list[str], limit: int = FIT_ROWS) -> DataFrame:
+    """``id`` and categories of the labelled ids of least hash, at most ``limit``.
+
+    Only ids and marks are read. A bound on the hash, from the number of rows,
+    keeps what one task sorts near the limit, whatever the size of the table.
+    """
+    narrow = (marks.select("id", *[F.col(c).cast("double").alias(c) for c in categories])
+              .filter(" AND ".join(f"{c} IS NOT NULL" for c in ("id", *categories)))
+              .withColumn("_at", F.shiftrightunsigned(F.xxhash64("id"), 1)))
+    n, share = narrow.count(), 1.0
+    while n > 4 * limit:
+        share = 2.0 * limit / n if share == 1.0 else min(1.0, 2 * share)
+        near = narrow.filter(F.col("_at") < F.lit(int(share * (1 << 63)) - 1))
+        if share == 1.0 or near.select("id").distinct().limit(limit).count() == limit:
+            narrow = near
+            break
+    one = narrow.groupBy("id", "_at").agg(*[F.min(c).alias(c) for c in categories])
+    return one.orderBy("_at", "id").limit(limit).drop("_at")
+
+
+def fit_chain(docs: DataFrame, marks: DataFrame, categories: list[str], limit: int = FIT_ROWS) -> list[Model]:
+    """One model per category, from ``id, text`` and ``id`` with 0/1 columns. At
+    most ``limit`` labelled ids are chosen first; the words of their texts are
+    hashed where they are scanned."""
+    sample = sample_marks(marks, categories, limit)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher()
         for batch in batches:
             yield pa.RecordBatch.from_pydict({
-                "w": pa.array(list(_word_ids(batch, hasher)), pa.list_(pa.int64())),
+                "id": batch.column("id"), "w": pa.array(list(_word_ids(batch, hasher)), pa.list_(pa.int64())),
                 **{c: batch.column(c) for c in categories}})
 
-    hashed = stage(sample.repartition(16, "id").mapInArrow(
-        words, "w array<bigint>, " + ", ".join(f"{c} double" for c in categories)), "sample")
-    # words that tell something about some category are found in the cluster; only they reach the driver
-    total = hashed.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0.0)) for c in categories]).first()
-    held = hashed.select(F.explode("w").alias("g"), *categories).groupBy("g").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories])
-    tells = [f"pow({c} - n * {y / max(total[0], 1)!r}D, 2) >= {MIN_CHI2}D * n * {y / max(total[0], 1) * (1 - y / max(total[0], 1))!r}D"
-             for c, y in zip(categories, total[1:])]
-    told = held.filter(f"n >= {MIN_ROWS} AND ({' OR '.join(tells)})").select("g").toPandas()["g"].to_numpy(np.int64)
-    shipped = labelled.sparkSession.sparkContext.broadcast(np.sort(told))
+    # at most ``limit`` narrow rows are broadcast
+    texts = docs.select("id", "text").join(F.broadcast(stage(sample, "marks")), "id")
+    hashed = texts.mapInArrow(words, "id bigint, w array<bigint>, " + ", ".join(f"{c} double" for c in categories))
+    hashed = stage(hashed.groupBy("id").agg(F.min("w").alias("w"), *[F.min(c).alias(c) for c in categories])
+                   .withColumn("fold", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(FOLDS)).cast("int")), "sample")
+    # words that tell something about some category in the rows of some model are found in the
+    # cluster; only they reach the driver, where each model judges them by its own rows again
+    inside = [F.lit(True)] + [F.col("fold") != f for f in range(FOLDS)]
+    sums = [F.sum(F.when(rows, F.lit(1.0)).otherwise(0.0)).alias(f"n{k}") for k, rows in enumerate(inside)] + [
+        F.sum(F.when(rows, F.col(c)).otherwise(0.0)).alias(f"y{k}_{c}") for k, rows in enumerate(inside) for c in categories]
+    total = hashed.agg(*sums).first().asDict()
+    held = hashed.select(F.explode("w").alias("g"), "fold", *categories).groupBy("g").agg(*sums)
+    tells = []
+    for k in range(len(inside)):
+        for c in categories:
+            share = (total[f"y{k}_{c}"] or 0.0) / max(total[f"n{k}"] or 0.0, 1.0)
+            tells.append(f"(n{k} >= {MIN_ROWS} AND pow(y{k}_{c} - n{k} * {share!r}D, 2) >= "
+                         f"{MIN_CHI2}D * n{k} * {share * (1 - share)!r}D)")
+    told = held.filter(" OR ".join(tells)).select("g").toPandas()["g"].to_numpy(np.int64)
+    shipped = docs.sparkSession.sparkContext.broadcast(np.sort(told))
 
     def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [np.intersect1d(np.array(w, np.int64), shipped.value) for w in batch.column("w").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"w": pa.array(kept, pa.list_(pa.int64())),
-                                              **{c: batch.column(c) for c in categories}})
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "w": pa.array(kept, pa.list_(pa.int64())),
+                                              **{c: batch.column(c) for c in categories}, "fold": batch.column("fold")})
 
-    rows = hashed.mapInArrow(telling, hashed.schema).toPandas()
+    rows = hashed.mapInArrow(telling, hashed.schema).toPandas().sort_values("id", ignore_index=True)
     lists, n = rows["w"].tolist(), len(rows)
     row = np.repeat(np.arange(n), [len(x) for x in lists])
     col = np.concatenate([np.asarray(x, np.int64) for x in lists]) if n else np.empty(0, np.int64)
-    fold, earlier, models = np.arange(n) % FOLDS, np.empty((n, 0)), []
+    fold, earlier, models = rows["fold"].to_numpy(), np.empty((n, 0)), []
     for c in categories:
         y = rows[c].to_numpy(float)
         models.append(fit_linear(row, col, n, earlier, y))
         if c != categories[-1]:
             unseen = np.zeros(n)
             for f in range(FOLDS):
-                inside = fold != f
-                at = np.cumsum(inside) - 1
-                keep = inside[row]
-                part = fit_linear(at[row[keep]], col[keep], int(inside.sum()), earlier[inside], y[inside])
-                sums = _word_sums(part.ids, part.words, [np.asarray(x, np.int64) for x in lists])
-                unseen[~inside] = _sigmoid(sums + earlier @ part.before + part.bias)[~inside]
+                inside_f = fold != f
+                at = np.cumsum(inside_f) - 1
+                keep = inside_f[row]
+                part = fit_linear(at[row[keep]], col[keep], int(inside_f.sum()), earlier[inside_f], y[inside_f])
+                sums_f = _word_sums(part.ids, part.words, [np.asarray(x, np.int64) for x in lists])
+                unseen[~inside_f] = _sigmoid(sums_f + earlier @ part.before + part.bias)[~inside_f]
             earlier = np.column_stack((earlier, unseen))
     return models
 
@@ -173,5 +206,5 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.5)
     chain = ["low_quality", "toxic"]
     rows = docs.select(F.col("doc_id").alias("id"), "text")
     marks = labels.select(F.col("doc_id").alias("id"), (1 - F.col("quality")).alias("low_quality"), "toxic")
-    models = fit_chain(rows.join(marks, "id"), chain)
+    models = fit_chain(rows, marks, chain)
     return score(rows, models, chain).withColumn("toxic", F.col("p_toxic") >= threshold).withColumnRenamed("id", "doc_id")
