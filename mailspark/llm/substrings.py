@@ -233,7 +233,8 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
                    "keys")
     live = stage(keyed.join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("live")), "live")
     n_live = live.agg(F.coalesce(F.sum(F.size("live")), F.lit(0))).first()[0]
-    runs = stage(docs.join(small(live, n_live), "id").select("id", "text", "live").mapInArrow(_runs(size), _RUNS), "runs")
+    runs = stage(docs.join(small(live, n_live), "id").select("id", "text", "live").mapInArrow(_runs(size), _RUNS)
+                 .withColumn("tag", F.monotonically_increasing_id()), "runs")
     groups = stage(runs.groupBy("key", "digest").agg(F.min("id").alias("first"), F.max("id").alias("last")), "groups")
     stop = F.col("start") + F.col("n") + F.lit(size - 1)
     held = (runs.select("key", "digest", "id", "start", "n").join(groups.filter("first < last"), ["key", "digest"])
@@ -242,7 +243,10 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(
         "key", (F.col("m") > GROUP_SUFFIXES).alias("deep"))
     firsts = groups.join(sizes, "key").select("key", "digest", F.col("first").alias("id"), "deep")
-    left = stage(runs.join(firsts, ["key", "digest", "id"]).dropDuplicates(["key", "digest", "id", "start"]), "firsts")
+    # which rows go on is settled without their words; repeated rows go on once
+    tags = stage(runs.select("key", "digest", "id", "start", "tag").join(firsts, ["key", "digest", "id"])
+                 .groupBy("key", "digest", "id", "start", "deep").agg(F.min("tag").alias("tag")).select("tag", "deep"), "tags")
+    left = runs.join(small(tags), "tag")
     trees = (left.filter("NOT deep").select("key", "id", "start", "n", "words").repartition("key")
              .sortWithinPartitions("key").mapInArrow(_trees(size), "id bigint, start int, stop int"))
     deep = stage(left.filter("deep").select("id", "start", "n", "words").mapInArrow(
