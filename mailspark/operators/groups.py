@@ -11,6 +11,7 @@ from .views import is_sufficient, search
 GROUP_ICONS = {"company": "🏢", "product": "📦", "name": "👤"}
 _SOURCE = {"company": "company", "product": "product", "name": "full_name"}
 SALTS = 32
+HOT_ROWS = 1_000_000   # records of a group beyond which it is dealt over SALTS tasks
 TYPE_RANK = {kind: i for i, kind in enumerate(GROUP_ICONS)}
 
 
@@ -47,16 +48,20 @@ def group_contacts(df: DataFrame) -> DataFrame:
                  F.min("filename").alias("first_file")))
 
 
-def group_members(df: DataFrame) -> DataFrame:
+def group_members(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every record with its group's name and size.
 
-    The right side has one row per group and salt; a group's members are dealt
-    over the salts, so a hot group is joined by ``SALTS`` tasks.
+    Groups of more than ``hot_rows`` records are hot. A table has at most its
+    number of records over ``hot_rows`` of them, so their keys are broadcast
+    (10**11 records: at most 10**5 keys). Only their members are dealt over SALTS tasks, and only they stand SALTS times on
+    the right side; every other group stands there once.
     """
-    members = with_group(df).drop("group_label").withColumn(
-        "_salt", F.pmod(F.xxhash64("filename"), F.lit(SALTS)).cast("int"))
-    groups = group_contacts(df).select("group_type", "group_key", "group_name", "n", F.explode(
-        F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    found, salts = group_contacts(df), F.lit(SALTS - 1)
+    hot = found.filter(F.col("n") > hot_rows).select("group_type", "group_key", F.lit(True).alias("_hot"))
+    members = with_group(df).drop("group_label").join(F.broadcast(hot), ["group_type", "group_key"], "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("filename"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    groups = found.select("group_type", "group_key", "group_name", "n", F.explode(
+        F.sequence(F.lit(0), F.when(F.col("n") > hot_rows, salts).otherwise(0))).alias("_salt"))
     return members.join(groups, ["group_type", "group_key", "_salt"]).drop("_salt")
 
 

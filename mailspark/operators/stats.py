@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import FilterConfig
 from ..functions.extract import field_sql, kind_sql
 from ..functions.sqltext import case, let as sql_let, string_array
 from ..functions.text import utrim
+from ..session import materialize, shared_dir
 from .rules import compile_patterns
 
 # Keys every stored result must have.
@@ -189,34 +189,26 @@ def evaluate_verdicts(predicted: DataFrame, truth: DataFrame, pred: str = "is_sp
     })
 
 
-def renumber(uids: DataFrame, uid: str = "uid", per_bucket: int = 1_000_000) -> DataFrame:
+def renumber(uids: DataFrame, uid: str = "uid", tasks: int | None = None) -> DataFrame:
     """Map all-digit uids, in numeric order, to 1..n: ``uid, new_uid``.
 
-    No single task sorts all uids. Quantiles split them into buckets of about
-    ``per_bucket`` (at most 5000 buckets); each bucket is numbered on its own
-    and shifted by the size of the buckets before it. Ties (``7`` and ``007``)
-    follow the text. Every export of a message uses this one mapping, so its
-    files stay paired.
+    Ties (``7`` and ``007``) follow the text. Uids are range partitioned by
+    that order, so no task sorts all of them, whatever their number, and the
+    sorted copy is written once to the shared folder (when this is called): two
+    readers of a range partitioning need not see the same bounds. A task numbers
+    its own rows; the sizes of the partitions before it, one row each, are
+    added. ``tasks`` sets the number of ranges. Every export of a message uses
+    this one mapping, so its files stay paired.
     """
-    digits = (uids.select(F.col(uid).cast("string").alias("uid"))
-              .filter(F.col("uid").rlike(r"\A[0-9]+\z"))
-              .withColumn("_size", F.col("uid").cast("double")))
-    points = ", ".join(f"{i / 5000}D" for i in range(1, 5000))
-    n, bounds = digits.agg(
-        F.count(F.lit(1)), F.expr(f"percentile_approx(_size, array({points}), 50000)")).first()
-    # at most 5000 numbers; they steer the split and never the result
-    step = max(1, round(5000 * per_bucket / max(n, 1)))
-    inner = sorted({b for b in (bounds or [])[step - 1::step] if 0 < b < float("inf")})
-    splits = [float("-inf"), 0.0, *inner, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_size", outputCol="_b")
-    # numeric order of digit strings of any length: without leading zeros, by
-    # length, then by text
-    bucketed = cut.transform(digits.distinct()).withColumn("_t", F.ltrim(F.col("uid"), F.lit("0")))
-    ranked = bucketed.withColumn("_r", F.row_number().over(
-        Window.partitionBy("_b").orderBy(F.length("_t"), "_t", "uid")))
-    # one row per bucket: a window over these few rows is safe, and so is
-    # broadcasting them
-    before = (bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-              .select("_b", (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).alias("_before")))
-    return (ranked.join(F.broadcast(before), "_b")
-            .select("uid", (F.col("_r") + F.col("_before")).cast("bigint").alias("new_uid")))
+    # numeric order of digit strings of any length: without leading zeros, by length, then by text
+    digits = (uids.select(F.col(uid).cast("string").alias("uid")).filter(F.col("uid").rlike(r"\A[0-9]+\z")).distinct()
+              .withColumn("_t", F.ltrim(F.col("uid"), F.lit("0"))))
+    order = [F.length("_t"), F.col("_t"), F.col("uid")]
+    laid = materialize(digits.repartitionByRange(*([tasks] if tasks else []), *order).sortWithinPartitions(*order)
+                       .select("uid", F.monotonically_increasing_id().alias("_at"))
+                       .withColumn("_part", F.shiftright("_at", 33)), shared_dir(uids.sparkSession, "renumber"))
+    # one row per partition: a window over them is small
+    before = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_c")).select(
+        F.col("_part"), (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))
+    inside = F.col("_at") - F.shiftleft(F.col("_part"), 33)
+    return laid.join(before, "_part").select("uid", (inside + F.col("_before") + 1).cast("bigint").alias("new_uid"))

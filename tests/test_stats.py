@@ -13,8 +13,8 @@ def test_renumber_against_sorting(spark):
     uids += ["007", "7", "07", "0", "00", "9" * 60, "8" * 400, "abc", "1a", "", "-5", "1.0"] + uids[:500]
     df = spark.createDataFrame([(u,) for u in uids], "uid string")
     want = sorted({u for u in uids if u.isdigit()}, key=lambda u: (int(u), u))
-    for size in (1_000_000, 700, 3):
-        got = S.renumber(df, per_bucket=size).orderBy("new_uid").collect()
+    for tasks in (None, 2, 60):
+        got = S.renumber(df, tasks=tasks).orderBy("new_uid").collect()
         assert [(r.uid, r.new_uid) for r in got] == [(u, i) for i, u in enumerate(want, 1)]
 
 

@@ -125,7 +125,11 @@ def test_hot_group_is_paged_and_complete(spark):
     members = [f.filename for r in pages.collect() for f in r.files]
     assert len(members) == len(set(members)) == 5000
     assert all(r.n == 3333 for r in hot)
-    assert G.group_members(df).filter("group_key = 'hot'").count() == 3333
+    for hot_rows in (10, 3333, G.HOT_ROWS):      # salted, not salted
+        members = G.group_members(df, hot_rows)
+        assert members.count() == 5000 and members.filter("group_key = 'hot' AND n = 3333").count() == 3333
+    salted = F.countDistinct("group_type", "group_key")
+    assert G.group_contacts(df).agg(salted).first()[0] == 1668
 
 
 def test_export(spark, tmp_path):
