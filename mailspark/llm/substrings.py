@@ -40,6 +40,7 @@ from .wordhash import WordHasher, grams
 WINDOW = 50
 PREFIX = 8
 GROUP_SUFFIXES = 2048   # different runs of windows with one prefix beyond which it is lengthened
+SPAN_NUMBERS = 1 << 23  # numbers of the spans that may be broadcast to the texts (64 MB)
 TREE_WORDS = 1_000_000  # words of the groups that one tree is built of
 
 
@@ -303,9 +304,9 @@ def _cut_text():
 
 def _with_spans(docs: DataFrame, size: int) -> DataFrame:
     found = repeated_spans(docs, size).withColumnRenamed("id", "s_id")
-    # a row weighs as many numbers as its spans hold
+    # a row weighs as many numbers as its spans hold; 8 bytes each, SPAN_NUMBERS in all are broadcast
     weight = found.agg(F.coalesce(F.sum(2 + 2 * F.coalesce(F.size("spans"), F.lit(0))), F.lit(0))).first()[0]
-    return docs.join(small(found, weight), docs["id"] == found["s_id"], "left").select("id", "text", "whole", "spans")
+    return docs.join(small(found, weight, SPAN_NUMBERS), docs["id"] == found["s_id"], "left").select("id", "text", "whole", "spans")
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
