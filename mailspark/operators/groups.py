@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import is_default, utrim
+from ..session import materialize, shared_dir
 from .views import is_sufficient, search
 
 # Group kinds in display order, with their icons.
@@ -56,7 +57,9 @@ def group_members(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     (10**11 records: at most 10**5 keys). Only their members are dealt over SALTS tasks, and only they stand SALTS times on
     the right side; every other group stands there once.
     """
-    found, salts = group_contacts(df), F.lit(SALTS - 1)
+    # both uses read one stored copy; else the records would be grouped twice
+    found = materialize(group_contacts(df), shared_dir(df.sparkSession, "groups"))
+    salts = F.lit(SALTS - 1)
     hot = found.filter(F.col("n") > hot_rows).select("group_type", "group_key", F.lit(True).alias("_hot"))
     members = with_group(df).drop("group_label").join(F.broadcast(hot), ["group_type", "group_key"], "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("filename"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
