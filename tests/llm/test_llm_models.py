@@ -250,6 +250,35 @@ def test_toxicity_chain(spark, docs):
     assert toxicity.toxicity_digest(docs([]), none).count() == 0
 
 
+def test_toxicity_sample(spark):
+    """Ids of least hash, whatever the table's size; repeated and null marks."""
+    marks = spark.range(5000).selectExpr("id", "cast(id % 3 = 0 AS int) AS toxic").unionByName(
+        spark.createDataFrame([(3, 1), (3, 0), (None, 1), (4, None)], "id bigint, toxic int"))
+    whole = [r.id for r in marks.filter("id IS NOT NULL").select("id").distinct().orderBy(F.shiftrightunsigned(F.xxhash64("id"), 1)).collect()]
+    for limit in (20, 1000, 5000, 9000):
+        got = toxicity.sample_marks(marks, ["toxic"], limit).collect()
+        assert {r.id for r in got} == set(whole[:limit]) and len(got) == min(limit, 5000)
+    assert {r.id: r.toxic for r in got}[3] == 0.0
+    assert toxicity.sample_marks(marks.limit(0), ["toxic"]).count() == 0
+
+
+def test_linear_model_is_at_the_gradient(spark):
+    """The fitted loss cannot be lowered much: plain gradient descent from there stays."""
+    rng = np.random.default_rng(3)
+    n, y = 400, (rng.random(400) < 0.4).astype(float)
+    held = [[w for w in range(6) if rng.random() < (0.8 if y[i] == (w < 3) else 0.2)] for i in range(n)]
+    row, col = np.repeat(np.arange(n), [len(h) for h in held]), np.array([w for h in held for w in h], np.int64)
+    m = toxicity.fit_linear(row, col, n, np.empty((n, 0)), y)
+    x = np.zeros((n, len(m.ids)))
+    for i, h in enumerate(held):
+        x[i, [k for k, w in enumerate(m.ids) if w in h]] = 1
+    weight = np.where(y > 0, np.sqrt(0.5 / y.mean()), np.sqrt(0.5 / (1 - y.mean())))
+    weight /= weight.sum()
+    p = 1 / (1 + np.exp(-(x @ m.words + m.bias)))
+    assert np.abs(x.T @ ((p - y) * weight) + toxicity.L2 * m.words).max() < 0.01
+    assert len(m.ids) == 6 and (m.words[:3] > 0).all() and (m.words[3:] < 0).all()
+
+
 # ------------------------------------------------------------------ queries and pipeline
 
 
