@@ -740,9 +740,11 @@ def stream_eml_ingest(spark, sf):
 
 @query
 def stream_dedupe(spark, sf):
-    arrivals = A.table_stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("uid"))
+    """Remembered uids expire; all arrivals lie in one batch, within the delay."""
+    arrivals = A.table_stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("uid"),
+                                                         F.col("ts").cast("timestamp").alias("ts"))
     out = shared_dir(spark, "dedupe")
-    J.run_to_table(J.stream_dedupe(arrivals), out, shared_dir(spark, "ckpt")).awaitTermination()
+    J.run_to_table(J.stream_dedupe(arrivals, "ts"), out, shared_dir(spark, "ckpt")).awaitTermination()
     return spark.read.parquet(out).select("uid")
 
 

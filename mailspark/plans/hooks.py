@@ -13,25 +13,32 @@ from pyspark.sql.types import DoubleType
 SCORER_CHARS = 512
 
 
-def with_extractor(messages: DataFrame, extractor: Callable[[str, Mapping[str, Any]], Any],
-                   config: Mapping[str, Any] | None = None, body: str = "body") -> DataFrame:
+def with_extractor(messages: DataFrame, extractor: Callable[[str, Mapping[str, Any]], Any] | None = None,
+                   config: Mapping[str, Any] | None = None, body: str = "body",
+                   make_extractor: Callable[[], Callable[[str, Mapping[str, Any]], Any]] | None = None) -> DataFrame:
     """Run ``extractor(text, config) -> json`` on each message: ``uid, reply, error``.
 
-    Results that are not strings are converted. A message whose extractor
-    call fails gets a null reply and the failure in ``error``; the job goes on.
+    Instead of an extractor, ``make_extractor()`` may be given: each task builds
+    its own with it, once, as one that loads a model must. Results that are not
+    strings are converted. A message whose extractor call fails gets a null
+    reply and the failure in ``error``; the job goes on. A factory that fails
+    ends the job.
     """
+    if (extractor is None) == (make_extractor is None):
+        raise ValueError("give either an extractor or a factory of one")
     settings = dict(config or {})
 
-    def call(text: str) -> tuple[str | None, str | None]:
+    def call(use: Callable, text: str) -> tuple[str | None, str | None]:
         try:
-            reply = extractor(text or "", settings)
+            reply = use(text or "", settings)
         except Exception as err:   # noqa: BLE001 - failures are reported by row
             return None, f"{type(err).__name__}: {err}"
         return (reply if isinstance(reply, str) else str(reply)), None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use = extractor if make_extractor is None else make_extractor()
         for batch in batches:
-            called = [call(t) for t in batch["body"]]
+            called = [call(use, t) for t in batch["body"]]
             yield pd.DataFrame({"uid": batch["uid"], "reply": [r for r, _ in called],
                                 "error": [e for _, e in called]})
 
