@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..operators import contacts as C
 from ..operators import groups as G
 from ..operators import risk as R
+from ..operators import rule_table as RT
 from ..operators import rules as B
 from ..operators import stats as S
 from ..operators import views as V
@@ -304,6 +305,23 @@ def rule_usage(spark, sf):
         big("rule_id").alias("rule_id"), "kind", "pattern", "n_messages")
 
 
+# a phrase of each document, its other characters as wildcards; each source's senders;
+# and a subject rule per nation in which no letter is certain
+TABLE_RULES = """SELECT min(doc_id) AS rule_id, 'body' AS kind, pattern FROM
+ (SELECT doc_id, regexp_replace(substring(text, 41, 40), '[^A-Za-zÀ-ÖØ-Þà-öø-þ ]', '.'{0}) AS pattern FROM documents) p
+ WHERE length(pattern) = 40 GROUP BY pattern
+UNION ALL SELECT 1000000000 + min(doc_id), 'sender', concat(source, '@*') FROM documents GROUP BY source
+UNION ALL SELECT 2000000000 + n_nationkey, 'subject', concat('[a-n][', n_nationkey, lower(substring(n_name, 1, 1)), ']') FROM nation"""
+
+
+@query
+def rule_table(spark, sf):
+    docs, nation = A.table(spark, sf, "documents"), A.table(spark, sf, "nation")
+    rules = spark.sql(TABLE_RULES.format("").replace("FROM documents", "FROM {docs}").replace("FROM nation", "FROM {nation}"),
+                      docs=docs, nation=nation)
+    return RT.rule_table_hits(A.messages(spark, sf), rules)
+
+
 # ---- risk ----------------------------------------------------------------
 
 

@@ -443,6 +443,13 @@ UNION ALL SELECT 'best', count(*), CAST(sum(greatest(sa, sb)) AS BIGINT), count(
  count(*) AS n_hits FROM rule_hits GROUP BY uid""",
     "rule_usage": with_(MESSAGES, RULE_HITS) + """SELECT r.rule_id, r.kind, r.pattern, count(f.uid) AS n_messages
  FROM rules r LEFT JOIN fired f ON r.rule_id = f.rule_id GROUP BY ALL""",
+    "rule_table": with_(MESSAGES, "table_rules AS (" + K.TABLE_RULES.format(", 'g'") + ")",
+                        "held AS MATERIALIZED (SELECT *, (SELECT lower(max_by(x, length(x))) FROM unnest(string_split(pattern, '.')) u(x)) AS piece "
+                        "FROM table_rules)", "low AS MATERIALIZED (SELECT *, lower(body) AS low FROM messages)") + """
+SELECT uid, CAST(rule_id AS BIGINT) AS rule_id, kind, pattern FROM low JOIN held ON CASE
+ WHEN kind = 'body' THEN CASE WHEN contains(low, piece) THEN regexp_matches(body, pattern, 'i') ELSE false END
+ WHEN kind = 'sender' THEN regexp_matches(sender, concat('^(?:', replace(pattern, '*', '.*'), ')'), 'i')
+ ELSE regexp_matches(subject, pattern, 'i') END""",
     "email_points": with_(MESSAGES, RULES) + f"SELECT uid, {SUSPICIOUS} AS suspicious FROM rule_contacts",
     "text_quality": with_(MESSAGES) + f"SELECT uid, CAST({TEXT_POINTS} AS BIGINT) AS points FROM messages",
     "ml_points": f"""SELECT CAST(d.doc_id AS VARCHAR) AS uid, round(coalesce(CAST({PROBABILITY} AS DOUBLE), 0) * 20, 6) AS points
