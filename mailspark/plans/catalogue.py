@@ -27,6 +27,7 @@ from ..sources.commits import compact
 from ..streaming import jobs as J
 from . import hooks as H
 from . import ingest as I
+from . import search as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -559,6 +560,20 @@ def stored_contact(spark, sf):
     return stores.read_result(spark, path, "7")
 
 
+@query
+def indexed_search(spark, sf):
+    """Replies, most of them merged and indexed; a later batch without postings replaces some."""
+    path = shared_dir(spark, "indexed")
+    replies = A.replies(spark, sf).select("uid", F.col("reply").alias("value"))
+    even = F.col("uid").cast("bigint") % 2 == 0
+    stores.write_results(replies.filter(even), path)
+    stores.write_results(replies.filter(~even), path)
+    compact(spark, path, everything=True)
+    Q.index_results(spark, path)
+    stores.write_results(A.supplier_results(spark, sf), path)
+    return Q.search_results(spark, path, " 00000001").select("filename", "full_name", "company")
+
+
 @query
 def review_upsert(spark, sf):
     path = shared_dir(spark, "review")

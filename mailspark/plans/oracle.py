@@ -493,6 +493,10 @@ UNION ALL SELECT uid, 'accepted', NULL, '', 'kept' FROM kept""",
     "stored_contact": """SELECT '7' AS uid, coalesce((SELECT n_name FROM nation WHERE n_nationkey = 7), (SELECT
  concat('{"full_name": "Sales", "emails": ["info@s7.example"], "phones": [], "company": "', s_name,
    '", "position": "", "product": ""}') FROM supplier WHERE s_suppkey = 7)) AS value, '7.json' AS filename""",
+    "indexed_search": with_(CONTACTS, REPLIES, DECODED, VIEW) + f"""SELECT filename, full_name, company FROM view
+ WHERE {match('00000001')} AND filename NOT IN (SELECT concat(s_suppkey, '.json') FROM supplier)
+UNION ALL SELECT concat(s_suppkey, '.json'), 'Sales', s_name FROM supplier WHERE contains(s_name, '00000001')
+ OR contains(concat('info@s', s_suppkey, '.example'), '00000001')""",
     "review_upsert": with_(MESSAGES) + f"""SELECT uid, subject, CASE WHEN body_code IS NULL THEN concat('Subject matches blacklist: ', substring(subject, 1, 50))
  WHEN body_code = 'BODY' THEN 'Body contains blacklisted content' ELSE concat('Sender ', sender, ' is blacklisted') END AS reason
  FROM (SELECT *, {basic_code(K.SHIPPED)} AS code, {basic_code(K.SHIPPED.with_(subject_blacklist=()))} AS body_code FROM messages)
