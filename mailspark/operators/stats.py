@@ -56,6 +56,24 @@ def filter_stats(df: DataFrame, cfg: FilterConfig) -> DataFrame:
     return df.sparkSession.createDataFrame([tuple(row.values())], schema)
 
 
+def _given(c: str) -> Column:
+    return F.when(F.coalesce(c, F.lit("")) != "", F.col(c))
+
+
+def tagged_values(record: Column) -> Column:
+    """Array of ``kind, value``: ``record``, and the company, product, e-mails
+    and phones of a contact that are given."""
+    def tag(kind: str, v: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("value"))
+
+    return F.concat(
+        F.array(tag("record", record)),
+        F.filter(F.array(tag("company", _given("company")), tag("product", _given("product"))),
+                 lambda t: t["value"].isNotNull()),
+        F.transform("emails", lambda e: tag("email", e)),
+        F.transform("phones", lambda p: tag("phone", p)))
+
+
 def corpus_stats(contacts: DataFrame, approximate: bool = False) -> DataFrame:
     """Record count and distinct companies, e-mails, phones and products.
 
@@ -63,12 +81,9 @@ def corpus_stats(contacts: DataFrame, approximate: bool = False) -> DataFrame:
     is a single shuffle of distinct values instead of one expanded copy of
     the input per distinct count. ``approximate`` trades that for sketches.
     """
-    def given(c: str) -> Column:
-        return F.when(F.coalesce(c, F.lit("")) != "", F.col(c))
-
     if approximate:
         lists = contacts.select(
-            given("company").alias("company"), given("product").alias("product"),
+            _given("company").alias("company"), _given("product").alias("product"),
             F.explode_outer(F.concat(
                 F.transform("emails", lambda x: F.struct(F.lit("e").alias("k"), x.alias("v"))),
                 F.transform("phones", lambda x: F.struct(F.lit("p").alias("k"), x.alias("v"))),
@@ -83,16 +98,7 @@ def corpus_stats(contacts: DataFrame, approximate: bool = False) -> DataFrame:
             of("e").alias("n_emails"), of("p").alias("n_phones"),
             F.approx_count_distinct("product").alias("n_products"))
 
-    def tag(kind: str, v: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("value"))
-
-    tagged = F.concat(
-        F.array(tag("record", F.lit(""))),
-        F.filter(F.array(tag("company", given("company")), tag("product", given("product"))),
-                 lambda t: t["value"].isNotNull()),
-        F.transform("emails", lambda e: tag("email", e)),
-        F.transform("phones", lambda p: tag("phone", p)))
-    distinct = (contacts.select(F.explode(tagged).alias("t")).select("t.*")
+    distinct = (contacts.select(F.explode(tagged_values(F.lit(""))).alias("t")).select("t.*")
                 .groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")))
 
     def values(kind: str) -> Column:

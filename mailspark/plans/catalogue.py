@@ -28,6 +28,7 @@ from ..streaming import jobs as J
 from . import hooks as H
 from . import ingest as I
 from . import search as Q
+from . import sketches as K
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -574,6 +575,37 @@ def indexed_search(spark, sf):
     return Q.search_results(spark, path, " 00000001").select("filename", "full_name", "company")
 
 
+def _sketched_store(spark, sf) -> str:
+    """Replies in two batches, merged and sketched, and a batch without sketches that replaces some by the same."""
+    path = shared_dir(spark, "sketched")
+    replies = A.replies(spark, sf).select("uid", F.col("reply").alias("value"))
+    even = F.col("uid").cast("bigint") % 2 == 0
+    stores.write_results(replies.filter(even), path, "even")
+    stores.write_results(replies.filter(~even), path, "odd")
+    compact(spark, path, everything=True)
+    K.sketch_results(spark, path)
+    stores.write_results(replies.filter(F.col("uid").cast("bigint") % 3 == 0), path)
+    return path
+
+
+@query
+def sketched_stats(spark, sf):
+    """The exact counts, and whether those of the sketches lie within their error of them."""
+    path = _sketched_store(spark, sf)
+    exact = S.corpus_stats(V.normalize_view(stores.read_results(spark, path)))
+    told = K.sketched_stats(spark, path).select(*[F.col(c).alias(f"_{c}") for c in exact.columns])
+    # two one-row results side by side
+    both = exact.withColumn("_k", F.lit(1)).join(told.withColumn("_k", F.lit(1)), "_k")
+    return both.select(*[big(c).alias(c) for c in exact.columns],
+                       *[(F.abs(F.col(f"_{c}") - F.col(c)) <= K.ERROR * F.col(c)).alias(f"{c}_near") for c in exact.columns])
+
+
+@query
+def frequent_products(spark, sf):
+    """Products are few, so their counts are exact; rows of both versions count."""
+    return K.frequent_values(spark, _sketched_store(spark, sf), "product", 10).select("value", big("n").alias("n"))
+
+
 @query
 def review_upsert(spark, sf):
     path = shared_dir(spark, "review")

@@ -497,6 +497,14 @@ UNION ALL SELECT uid, 'accepted', NULL, '', 'kept' FROM kept""",
  WHERE {match('00000001')} AND filename NOT IN (SELECT concat(s_suppkey, '.json') FROM supplier)
 UNION ALL SELECT concat(s_suppkey, '.json'), 'Sales', s_name FROM supplier WHERE contains(s_name, '00000001')
  OR contains(concat('info@s', s_suppkey, '.example'), '00000001')""",
+    "sketched_stats": with_(CONTACTS, REPLIES, DECODED, VIEW) + """SELECT count(*) AS n_records, count(DISTINCT nullif(company, '')) AS n_companies,
+ (SELECT count(DISTINCT e) FROM (SELECT unnest(emails) AS e FROM view)) AS n_emails,
+ (SELECT count(DISTINCT p) FROM (SELECT unnest(phones) AS p FROM view)) AS n_phones,
+ count(DISTINCT nullif(product, '')) AS n_products,
+ true AS n_records_near, true AS n_companies_near, true AS n_emails_near, true AS n_phones_near, true AS n_products_near FROM view""",
+    "frequent_products": with_(CONTACTS, REPLIES, DECODED, VIEW) + """SELECT product AS value,
+ count(*) + count(*) FILTER (CAST(replace(filename, '.json', '') AS BIGINT) % 3 = 0) AS n
+ FROM view WHERE product <> '' GROUP BY product ORDER BY n DESC, product LIMIT 10""",
     "review_upsert": with_(MESSAGES) + f"""SELECT uid, subject, CASE WHEN body_code IS NULL THEN concat('Subject matches blacklist: ', substring(subject, 1, 50))
  WHEN body_code = 'BODY' THEN 'Body contains blacklisted content' ELSE concat('Sender ', sender, ' is blacklisted') END AS reason
  FROM (SELECT *, {basic_code(K.SHIPPED)} AS code, {basic_code(K.SHIPPED.with_(subject_blacklist=()))} AS body_code FROM messages)
