@@ -3,8 +3,9 @@
 Equal vectors become one node that carries its smallest ids (as many as a
 result can name). Nodes are dealt over shards by hash; each shard's task builds
 a hierarchical graph and stores it as flat neighbour arrays in the shared
-folder. Blocks of queries then meet every shard, and the best of all shards
-are ranked by the exact cosine of the original vectors in double precision.
+folder. Blocks of queries then meet every shard. All that a graph's search
+keeps is scored by the exact cosine of the original vectors in double
+precision; each shard's best by score and id are ranked together.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components take no part, as query or candidate; nor do rows without an id.
@@ -29,13 +30,19 @@ BLOCK_QUERIES = 512  # queries that meet one graph in one go
 LINKS = 16           # neighbours of a node above the ground level; twice as many on it
 EF_BUILD = 96
 EF_SEARCH = 160
+SAME = 4 * np.finfo(np.float32).eps   # directions this near are one to single precision
 
 
 class Graph:
-    """Hierarchical navigable small world over unit vectors."""
+    """Hierarchical navigable small world over unit vectors.
 
-    def __init__(self, unit: np.ndarray, levels: np.ndarray, links: list[np.ndarray], entry: int):
-        self.unit, self.levels, self.links, self.entry = unit, levels, links, entry
+    A vector whose direction single precision cannot tell from one in the graph
+    is not linked (links among such would leave some out of reach) but chained
+    to that one: ``twins`` holds the next of each chain.
+    """
+
+    def __init__(self, unit: np.ndarray, levels: np.ndarray, links: list[np.ndarray], entry: int, twins: np.ndarray):
+        self.unit, self.levels, self.links, self.entry, self.twins = unit, levels, links, entry, twins
         self.seen = np.zeros(len(unit), np.int64)
         self.stamp = 0
 
@@ -45,7 +52,7 @@ class Graph:
         n = len(unit)
         levels = np.floor(-np.log(np.random.default_rng(seed).random(n) + 1e-12) / np.log(LINKS)).astype(int)
         links = [np.full((n, LINKS * (2 if level == 0 else 1)), -1, np.int32) for level in range(levels.max() + 1)]
-        graph = cls(unit, levels, links, 0)
+        graph = cls(unit, levels, links, 0, np.full(n, -1, np.int32))
         for node in range(1, n):
             graph._insert(node)
         return graph
@@ -109,8 +116,15 @@ class Graph:
         entries = [self.entry]
         for level in range(top, self.levels[node], -1):
             entries = [self._layer(q, entries, level, 1)[0][1]]
+        around = []
         for level in range(min(top, self.levels[node]), -1, -1):
             found = self._layer(q, entries, level, EF_BUILD)
+            around.append((level, found))
+            entries = [e for _, e in found]
+        if found[0][0] >= 1 - SAME:
+            self.twins[node], self.twins[entries[0]] = self.twins[entries[0]], node
+            return
+        for level, found in around:
             links, m = self.links[level], self.links[level].shape[1]
             picked = self._choose(np.array([e for _, e in found]), np.array([s for s, _ in found]), LINKS)
             links[node, :len(picked)] = picked
@@ -126,18 +140,31 @@ class Graph:
                     kept = self._choose(both[o], sims[o], m)
                     row[:] = -1
                     row[:len(kept)] = kept
-            entries = [e for _, e in found]
         if self.levels[node] > top:
             self.entry = node
 
     def search(self, q: np.ndarray, k: int, ef: int) -> list[int]:
+        """The ``ef`` nearest found with their twins, for an exact score to rank.
+        Where single precision cannot tell the last of them from the ``k``-th,
+        the search widens until it can or nothing more is found."""
         entries = [self.entry]
         for level in range(self.levels[self.entry], 0, -1):
             entries = [self._layer(q, entries, level, 1)[0][1]]
-        return [e for _, e in self._layer(q, entries, 0, max(ef, k))[:k]]
+        doubt, ef = SAME * np.sqrt(len(q)), max(ef, k)
+        while True:
+            found = self._layer(q, entries, 0, ef)
+            if len(found) < ef or found[-1][0] < found[k - 1][0] - doubt:
+                break
+            ef *= 2
+        nodes = []
+        for _, e in found:
+            while e >= 0:
+                nodes.append(e)
+                e = int(self.twins[e])
+        return nodes
 
 
-_GRAPH = ("dim int, shard int, n int, entry int, levels array<int>, links array<binary>, vectors binary, "
+_GRAPH = ("dim int, shard int, n int, entry int, levels array<int>, links array<binary>, twins binary, vectors binary, "
           "ids array<array<bigint>>")
 
 
@@ -151,7 +178,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "n": pa.array([len(ids)], pa.int32()), "entry": pa.array([g.entry], pa.int32()),
             "levels": pa.array([g.levels.tolist()], pa.list_(pa.int32())),
             "links": pa.array([[x.tobytes() for x in g.links]], pa.list_(pa.binary())),
-            "vectors": pa.array([x.tobytes()], pa.binary()),
+            "twins": pa.array([g.twins.tobytes()], pa.binary()), "vectors": pa.array([x.tobytes()], pa.binary()),
             "ids": pa.array([ids], pa.list_(pa.list_(pa.int64())))})
 
     key, ids, vectors = None, [], []
@@ -180,18 +207,19 @@ def _search(k: int, ef: int):
                     vectors = np.frombuffer(g["vectors"], np.float64).reshape(g["n"], -1)
                     unit = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
                     links = [np.frombuffer(x, np.int32).reshape(g["n"], -1) for x in g["links"]]
-                    graph, ids = Graph(unit, np.array(g["levels"]), links, g["entry"]), g["ids"]
+                    graph = Graph(unit, np.array(g["levels"]), links, g["entry"], np.frombuffer(g["twins"], np.int32))
+                    ids = g["ids"]
                     continue
                 out = {"query_id": [], "vec_id": [], "score": []}
                 for query in row["queries"]:
                     q = np.array(query["v"], np.float64)
                     found = graph.search((q / np.linalg.norm(q)).astype(np.float32), k + 1, ef)
-                    for node, score in zip(found, cosine(vectors[found], q).tolist()):
-                        for other in ids[node]:
-                            if other != query["id"]:
-                                out["query_id"].append(query["id"])
-                                out["vec_id"].append(other)
-                                out["score"].append(score)
+                    scored = ((-score, other) for node, score in zip(found, cosine(vectors[found], q).tolist())
+                              for other in ids[node] if other != query["id"])
+                    for score, other in heapq.nsmallest(k, scored):
+                        out["query_id"].append(query["id"])
+                        out["vec_id"].append(other)
+                        out["score"].append(-score)
                 yield pa.RecordBatch.from_pydict({
                     "query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()),
                     "score": pa.array(out["score"], pa.float64())})
@@ -231,7 +259,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, ef: int = EF_SEARC
                    .groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("queries")), "queries")
     # every graph meets every block: one row of each per cell
     shards = graphs.select("dim", "shard")
-    graph = F.struct("n", "entry", "levels", "links", "vectors", "ids").alias("graph")
+    graph = F.struct("n", "entry", "levels", "links", "twins", "vectors", "ids").alias("graph")
     left = (graphs.join(packed.select(F.col("dim").alias("q_dim"), "block"), F.col("dim") == F.col("q_dim"))
             .select("dim", "shard", "block", F.lit(0).alias("role"), graph, F.lit(None).alias("queries")))
     right = (packed.join(shards, "dim").select("dim", "shard", "block", F.lit(1).alias("role"),
