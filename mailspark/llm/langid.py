@@ -231,7 +231,9 @@ def page_rows(pages: DataFrame) -> DataFrame:
     host and its last two labels."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)", 1))
     host = F.when(host != "", host)
-    declared = F.regexp_extract("html", r"(?i)<html\b[^>]{0,500}?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    # tags of any length, each read once
+    tags = F.array_join(F.regexp_extract_all("html", F.lit(r"(?i)<html\b[^>]*+"), F.lit(0)), ">")
+    declared = F.regexp_extract(tags, r"(?i)\blang\s*+=\s*+[\"']?([A-Za-z-]+)", 1)
     return pages.select(F.col("page_id").alias("id"), F.col("html").alias("text"), _code(declared).alias("declared"),
                         F.element_at(F.split(host, r"\."), -1).alias("suffix"), host.alias("host"),
                         F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"))
