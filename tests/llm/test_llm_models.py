@@ -159,6 +159,25 @@ def test_neighbours(spark):
     assert [(r.query_id, r.vec_id) for r in hnsw.nearest_digest(few).collect()] == [(0, 1)]
 
 
+def test_neighbours_nearly_equal(spark):
+    """Multiples of one vector, more than a search keeps, and copies with tiny
+    noise: single precision cannot rank them, the double score does."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 16))
+    for i in range(200, 500):
+        x[i] = x[200] * (1 + (i - 200) * 0.37)
+    for i in range(500, 600):
+        x[i] = x[500] + 1e-5 * rng.normal(size=16)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in hnsw.nearest_digest(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(200, 600, 50):
+        score = (x * x[q]).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((x[q] * x[q]).sum()))
+        score[q] = -9
+        assert got[q] == np.lexsort((np.arange(700), -score))[:5].tolist(), q
+
+
 # ------------------------------------------------------------------ languages, toxicity
 
 
@@ -226,6 +245,10 @@ def test_page_evidence(spark):
     got = {r.id: r for r in langid.page_rows(rows).collect()}
     assert (got[1].host, got[1].domain, got[1].suffix, got[1].declared) == ("blog.site.example.fr", "example.fr", "fr", "fr")
     assert got[2].host is None and got[2].declared is None and got[3].host is None
+    # a language far into the tag, in a second tag, and tags that never end
+    far = ["<html " + 'data-x="1" ' * 2_000 + 'lang="de">', '<html class=a><HTML Lang = it>', "<html " * 200_000, "<html lang" + " " * 1_000_000 + ">"]
+    rows = spark.createDataFrame([(i, None, h) for i, h in enumerate(far)], "page_id bigint, url string, html string")
+    assert {r.id: r.declared for r in langid.page_rows(rows).collect()} == {0: "de", 1: "it", 2: None, 3: None}
 
 
 def test_toxicity_chain(spark, docs):
