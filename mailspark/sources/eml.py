@@ -6,6 +6,7 @@ import email
 import email.header
 import email.policy
 import email.utils
+import time
 from typing import Iterator
 
 import pandas as pd
@@ -27,8 +28,9 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]+\z", "")
 
 
-def empty_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """``name`` of the zero-length files of a folder, which file scans skip.
+def empty_files(spark: SparkSession, path: str, suffix: str, min_age: float = 0) -> DataFrame:
+    """``name`` of the zero-length files of a folder, which file scans skip;
+    with ``min_age`` those that were last written so many seconds ago.
 
     Only these names leave the listing.
     """
@@ -38,10 +40,17 @@ def empty_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     source, root = ((fs.LocalFileSystem(), uri) if uri.startswith("/")
                     else fs.FileSystem.from_uri(uri))
     names = [(info.base_name,) for info in source.get_file_info(fs.FileSelector(root))
-             if info.is_file and info.size == 0 and info.base_name.lower().endswith(suffix)]
+             if info.is_file and info.size == 0 and info.base_name.lower().endswith(suffix)
+             and not (min_age and info.mtime_ns is not None and time.time() - info.mtime_ns / 1e9 < min_age)]
     return spark.createDataFrame(names, "name string")
 
 
+def empty_eml(spark: SparkSession, path: str, min_age: float = 0) -> DataFrame:
+    """``uid, content`` of the zero-length ``.eml`` files of a folder."""
+    return empty_files(spark, path, ".eml", min_age).select(
+        file_stem(F.col("name")).alias("uid"), F.unhex(F.lit("")).alias("content"))
+
+
 def read_eml(spark: SparkSession, path: str) -> DataFrame:
     """``uid, content`` for every ``.eml`` file in a folder.
 
@@ -55,14 +64,12 @@ def read_eml(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(err):
             raise
         return spark.createDataFrame([], "uid string, content binary")
-    empty = empty_files(spark, path, ".eml").select(
-        file_stem(F.col("name")).alias("uid"), F.unhex(F.lit("")).alias("content"))
-    return files.select(file_stem(F.col("path")).alias("uid"), "content").unionByName(empty)
+    return files.select(file_stem(F.col("path")).alias("uid"), "content").unionByName(empty_eml(spark, path))
 
 
 def stream_eml(spark: SparkSession, path: str, files_per_trigger: int = 10_000) -> DataFrame:
     """The same as a stream: each arriving file once. File streams pass over
-    zero-length files."""
+    zero-length files; ``stream_ingest(..., landing=path)`` adds those."""
     files = (spark.readStream.format("binaryFile").schema(EML_SCHEMA)
              .option("pathGlobFilter", EML_GLOB)
              .option("maxFilesPerTrigger", files_per_trigger).load(path))
