@@ -10,6 +10,7 @@ import time
 from typing import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -21,6 +22,8 @@ EML_GLOB = "*.[eE][mM][lL]"
 EML_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 PARSED_SCHEMA = ("uid string, subject string, sender string, body string, html string, "
                  "raw string, size_bytes bigint, parse_error string")
+PARSED = [field.split()[0] for field in PARSED_SCHEMA.split(", ")]
+PIECE_ROWS = 32   # messages of a batch that are held parsed
 
 
 def file_stem(path: Column) -> Column:
@@ -125,16 +128,22 @@ def parse_messages(df: DataFrame, content: str = "content", bare_sender: bool =
     as ``\\uXXXX`` escapes; ``eight_bit`` reads such parts in their charset.
     Without ``keep_raw`` the raw text does not travel back and is empty.
     """
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (*[pa.string()] * 6, pa.int64(), pa.string())
         for batch in batches:
-            rows = [(u, *parse_message(c, bare_sender, eight_bit))
-                    for u, c in zip(batch["uid"], batch["content"])]
-            parsed = pd.DataFrame(rows, columns=[
-                "uid", "subject", "sender", "body", "html", "raw", "size_bytes", "parse_error"])
-            yield parsed if keep_raw else parsed.assign(raw="")
-
-    return (df.select("uid", F.col(content).alias("content"))
-            .mapInPandas(parse, schema=PARSED_SCHEMA))
+            # a piece at a time: of a batch of large messages no second copy is held
+            for at in range(0, batch.num_rows, PIECE_ROWS):
+                piece = batch.slice(at, PIECE_ROWS)
+                uids, columns = piece.column("uid"), [[] for _ in kinds]
+                for content in piece.column("content"):
+                    parsed = parse_message(content.as_py(), bare_sender, eight_bit)
+                    for column, value in zip(columns, parsed if keep_raw else (*parsed[:4], "", *parsed[5:])):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [uids, *[pa.array(c, k) for c, k in zip(columns, kinds[1:])]], names=PARSED)
+
+    return (df.select(F.col("uid").cast("string").alias("uid"), F.col(content).alias("content"))
+            .mapInArrow(parse, schema=PARSED_SCHEMA))
 
 
 def with_text(df: DataFrame) -> DataFrame:

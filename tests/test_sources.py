@@ -208,3 +208,26 @@ def test_files_one_per_row(spark, tmp_path):
     assert sorted(os.listdir(path)) == ["0.json", "1.json", "2.json", "3.txt", "a b%20+é.json"]
     got = {r.filename: r.value for r in stores.read_result_files(spark, path).collect()}
     assert got == {"1.json": '{"a": "é"}', "2.json": "x", "a b%20+é.json": "z", "0.json": ""}
+
+
+def test_parsing_holds_a_few_messages_at_a_time():
+    """A batch of 10000 pages leaves the parser piece by piece, not as a second copy."""
+    import pyarrow as pa
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        mapInPandas = mapInArrow
+
+    run = eml.parse_messages(Frame()).run
+    mail = b"From: a@b.c\nSubject: s\n\n" + b"x" * 100
+    batch = pa.RecordBatch.from_pydict({"uid": [str(i) for i in range(1000)], "content": [mail] * 999 + [None]})
+    pieces = list(run(iter([batch])))
+    assert max(p.num_rows for p in pieces) <= 32 and sum(p.num_rows for p in pieces) == 1000
+    rows = [r for p in pieces for r in p.to_pylist()]
+    assert rows[998]["sender"] == "a@b.c" and rows[998]["size_bytes"] == len(mail) and rows[999]["raw"] == ""
