@@ -304,6 +304,11 @@ def _cell_pairs(rows: DataFrame, merged: DataFrame, known: DataFrame, num: int,
              .select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("o"))
              .select("token", "band", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block",
                      "id", "n", "comp", "home"))
+    # signatures go only to cells in which a pair can be: of two components, one of them at home
+    cells = stage(cells, "cells")
+    worth = (cells.groupBy("token", "band", "i", "j").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("home").alias("any"))
+             .filter("x < y AND any").select("token", "band", "i", "j"))
+    cells = cells.join(small(stage(worth, "worth")), ["token", "band", "i", "j"], "left_semi")
     cells = cells.join(known.select("id", "bitmap"), "id").select(
         "token", "band", "i", "j", "block", "id", "n", "comp", "home", "bitmap")
     pairs = (cells.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j")

@@ -170,3 +170,25 @@ def test_decontamination_edges(spark, docs):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2] and kept.columns == df.columns
     near = decontaminate.proximity_matches(docs(["a b c x d e f g h i j k l"]), items, slop=2).collect()
     assert {r.item_id for r in near} <= {1} and all(r.gap <= 2 for r in near)
+
+
+def test_signatures_go_only_where_a_pair_can_be(spark, monkeypatch):
+    """Of a tile of many sizes, members without another in reach send no signature."""
+    sent = []
+    schema = "token bigint, id bigint, n int"
+    # sizes 10, 20, 40, ... lie in bands of their own; the last three are alike in size
+    sizes = [10 * 2 ** i for i in range(17)] + [10 * 2 ** 16 + 1] * 3
+    rows = spark.createDataFrame([(1, i, n) for i, n in enumerate(sizes)], schema)
+    known = spark.createDataFrame([(i, bytearray(8)) for i in range(len(sizes))], "id bigint, bitmap binary")
+    merged = spark.createDataFrame([], "id bigint, component bigint")
+    stage = jaccard.stage
+
+    def seen(df, name):
+        out = stage(df, name)
+        if name == "worth":
+            sent.append(out.count())
+        return out
+    monkeypatch.setattr(jaccard, "stage", seen)
+    pairs = jaccard._cell_pairs(rows, merged, known, 85, 100, False)
+    assert sent and sent[0] <= 2
+    assert all(a >= 16 and b >= 16 for a, b in pairs.collect())
