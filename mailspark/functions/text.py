@@ -7,6 +7,7 @@ import re
 from html.entities import html5, name2codepoint
 from typing import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .sqltext import string_array
@@ -151,6 +152,33 @@ def casefold_ascii(c: Column) -> Column:
     return F.lower(c)
 
 
+def plain_needles(patterns: Iterable[str]) -> tuple[list[str], list[str]]:
+    """The plain patterns as lower-cased substrings, and the other patterns."""
+    patterns = list(dict.fromkeys(patterns))
+    plain = list(dict.fromkeys(p.lower() for p in patterns if is_plain(p)))
+    other = [p for p in patterns if not is_plain(p)]
+    # a needle that contains a shorter needle can add nothing
+    plain = [p for p in plain if not any(q != p and q in p for q in plain)]
+    return plain, other
+
+
+def words_found(c: Column, words: Iterable[str]) -> Column:
+    """Which of ``words`` (ASCII, lower case) occur in ``c``, ignoring case; null
+    where ``c`` is null.
+
+    For tens of words and more: ``contains`` compares at every byte, Python's
+    search skips ahead. Texts go as bytes, which need not be valid UTF-8.
+    """
+    needles = [(w.encode(), w) for w in words]
+
+    @F.arrow_udf("array<string>")
+    def find(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else [w for needle, w in needles if needle in t]
+                         for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return find(casefold_ascii(c).cast("binary"))
+
+
 def search_any(c: Column, patterns: Iterable[str]) -> Column:
     """True when any pattern is found in ``c`` (case-insensitive search).
 
@@ -158,11 +186,7 @@ def search_any(c: Column, patterns: Iterable[str]) -> Column:
     text, several times cheaper than a long regex alternation; the rest
     become one alternation.
     """
-    patterns = list(dict.fromkeys(patterns))
-    plain = list(dict.fromkeys(p.lower() for p in patterns if is_plain(p)))
-    other = [p for p in patterns if not is_plain(p)]
-    # a needle that contains a shorter needle can add nothing
-    plain = [p for p in plain if not any(q != p and q in p for q in plain)]
+    plain, other = plain_needles(patterns)
     hit = F.lit(False)
     if plain:
         needles = F.expr(string_array(plain))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import FilterConfig
 from ..functions.sqltext import let as sql_let, quote, string_array
-from ..functions.text import WS_CLASS, casefold_sql, compute_once, java_regex, let
-from .rules import inputs, reason_code, reason_text
+from ..functions.text import (WS_CLASS, casefold_sql, compute_once, java_regex, let, plain_needles,
+                              search_any, words_found)
+from .rules import compile_patterns, inputs, reason_code, reason_text
 
 # Pattern lists. Searched in body + subject, ignoring case.
 SPAM_PATTERNS = (
@@ -154,13 +155,19 @@ def search_form(pattern: str) -> str:
     return "(?idU)" + form.replace(r"\s", f"[{WS_CLASS}]")
 
 
-def hit_counts(column: str, lists: dict[str, tuple[str, ...]]) -> Column:
+def needed_words(lists: dict[str, tuple[str, ...]]) -> list[str]:
+    """The needed words of all patterns, each once."""
+    return list(dict.fromkeys(w for group in lists.values() for p in group
+                              for words in NEEDED_WORDS.get(p, ()) for w in words))
+
+
+def hit_counts(column: str, lists: dict[str, tuple[str, ...]], found: str | None = None) -> Column:
     """Struct with the number of patterns of each list found in ``column``.
 
-    The text is folded once and all needed words are looked up in it once.
+    ``found`` names a column of the needed words that the text holds; without
+    it the text is folded once and all needed words are looked up in it once.
     """
-    patterns = [p for group in lists.values() for p in group]
-    words = dict.fromkeys(w for p in patterns for group in NEEDED_WORDS.get(p, ()) for w in group)
+    words = needed_words(lists)
 
     def hit(p: str) -> str:
         tests = [f"arrays_overlap(_present, {string_array(g)})" for g in NEEDED_WORDS.get(p, ())]
@@ -173,8 +180,8 @@ def hit_counts(column: str, lists: dict[str, tuple[str, ...]]) -> Column:
         return f"cast(({' AND '.join(tests)}) AS int)"
 
     counts = ", ".join(f"'{name}', {' + '.join(map(hit, group))}" for name, group in lists.items())
-    present = sql_let("_low", casefold_sql("_text"),
-                      f"filter({string_array(words)}, _w -> contains(_low, _w))")
+    present = found or sql_let("_low", casefold_sql("_text"),
+                               f"filter({string_array(words)}, _w -> contains(_low, _w))")
     return F.expr(sql_let("_text", column, sql_let("_present", present, f"named_struct({counts})")))
 
 
@@ -235,9 +242,11 @@ def with_risk(df: DataFrame, cfg: FilterConfig, phase: str = "pre",
     gate = (lambda c: c) if only is None else (lambda c: F.when(only, c))
     has_prob = cfg.ml_enabled and probability is not None and probability in df.columns
     prob = F.coalesce(F.col(probability), F.lit(0.0)) if has_prob else F.lit(0.0)
-    hits = hit_counts("_both", {"spam_hits": SPAM_PATTERNS, "phishing_hits": PHISHING_PATTERNS,
-                             "formatting_hits": FORMATTING_PATTERNS})
-    measured = compute_once(df.withColumn("_both", text), {"_hits": gate(hits), "_text": gate(text_quality_points(x.body))})
+    lists = {"spam_hits": SPAM_PATTERNS, "phishing_hits": PHISHING_PATTERNS,
+             "formatting_hits": FORMATTING_PATTERNS}
+    both = df.withColumn("_both", text).withColumn("_found", words_found(gate(text), needed_words(lists)))
+    measured = compute_once(both, {"_hits": gate(hit_counts("_both", lists, "_found")),
+                                   "_text": gate(text_quality_points(x.body))})
     scored = (
         measured.select("*", "_hits.*")
         .withColumns({
@@ -248,7 +257,7 @@ def with_risk(df: DataFrame, cfg: FilterConfig, phase: str = "pre",
             "ml_points": (prob * 20).cast("double"),
             "text_points": F.col("_text"),
         })
-        .drop("_hits", "_text", "_both")
+        .drop("_hits", "_text", "_both", "_found")
     )
     total = reduce(lambda a, b: a + b, [F.col(c) for c in (
         "spam_points", "phishing_points", "formatting_points", "email_points",
@@ -330,7 +339,11 @@ def advanced_verdict(df: DataFrame, cfg: FilterConfig, phase: str = "pre",
     reaches the threshold. Adds ``is_spam``, ``reason_code``, ``reason`` and
     ``risk_score``."""
     x = inputs(df, phase)
-    judged = compute_once(df, {"_basic": reason_code(x, cfg)})
+    plain, other = plain_needles(compile_patterns(cfg.body_blacklist)) if cfg.enabled else ([], [])
+    in_body = F.size("_in_body") > 0
+    read = df.withColumn("_in_body", words_found(x.body, plain)) if plain else df
+    judged = compute_once(read, {"_basic": reason_code(
+        x, cfg, (in_body | search_any(x.body, other) if other else in_body) if plain else None)}).drop("_in_body")
     # the basic rules are cheaper: what they reject is not scored
     scored = with_risk(judged, cfg, phase, probability, only=F.col("_basic").isNull())
     risky = F.col("risk_score") >= cfg.risk_threshold

@@ -107,11 +107,12 @@ def inputs(df: DataFrame, phase: str = "pre") -> Inputs:
     return Inputs(text("subject"), text("body"), text("sender"), size, *contact)
 
 
-def reason_code(x: Inputs, cfg: FilterConfig) -> Column:
+def reason_code(x: Inputs, cfg: FilterConfig, in_body: Column | None = None) -> Column:
     """First matching rule as a code, null when none matches.
 
     One CASE chain: cheap and decisive checks come first, later branches run
-    only for rows that passed the earlier ones.
+    only for rows that passed the earlier ones. ``in_body`` is the outcome of
+    the body rules, where that is known.
     """
     none = F.lit(None).cast("string")
     if not cfg.enabled:
@@ -120,7 +121,7 @@ def reason_code(x: Inputs, cfg: FilterConfig) -> Column:
     if cfg.subject_blacklist:
         branches.append(("SUBJECT", subject_hit(x.subject, cfg.subject_blacklist)))
     if cfg.body_blacklist:
-        branches.append(("BODY", body_hit(x.body, cfg.body_blacklist)))
+        branches.append(("BODY", body_hit(x.body, cfg.body_blacklist) if in_body is None else in_body))
     if cfg.sender_blacklist:
         branches.append(("SENDER", sender_hit(x.sender, cfg.sender_blacklist)))
     if cfg.exclude_replies:
